@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list
+from . import decision_list, mixing, simhash
 from .common import save, table
 
 
@@ -15,7 +15,19 @@ def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.pivotal_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES = {
+    "op3_pivotal_mixing": op3_pivotal_mixing,
+    "op7_simhash": op7_simhash,
     "op8_decision_list": op8_decision_list,
 }
 
