@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, mixing, simhash
+from . import decision_list, mixing, sentence_spans, simhash, tiling
 from .common import save, table
 
 
@@ -25,8 +25,22 @@ def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_spans.repeated_spans(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    chars = F.aggregate("removed", F.lit(0), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", F.get("first_ids", F.lit(0)).alias("first_doc_id"), F.size("removed").alias("n_spans"), chars.alias("removed_chars"), spans.alias("spans"))
+
+
+def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item_tokens", "matched_tokens", "n_tiles", "coverage")
+
+
 QUERIES = {
     "op3_pivotal_mixing": op3_pivotal_mixing,
+    "op4_sentence_spans": op4_sentence_spans,
+    "op5_string_tiling": op5_string_tiling,
     "op7_simhash": op7_simhash,
     "op8_decision_list": op8_decision_list,
 }
