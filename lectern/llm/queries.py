@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, mixing, sentence_spans, simhash, tiling
+from . import decision_list, mixing, pii, sentence_spans, simhash, tiling
 from .common import save, table
 
 
@@ -37,11 +37,20 @@ def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item_tokens", "matched_tokens", "n_tiles", "coverage")
 
 
+def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda c: c["base"])
+    of = lambda k: lambda c: c["base"] & (c["kind"] == k)
+    counts = [F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op3_pivotal_mixing": op3_pivotal_mixing,
     "op4_sentence_spans": op4_sentence_spans,
     "op5_string_tiling": op5_string_tiling,
     "op7_simhash": op7_simhash,
+    "op10_pii_votes": op10_pii_votes,
     "op8_decision_list": op8_decision_list,
 }
 
