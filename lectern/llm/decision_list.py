@@ -213,7 +213,16 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
     return kept.otherwise(F.lit(True)), fired.otherwise(F.lit(None).cast("string"))
 
 
-def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """docs with statistics, ``kept`` and ``fired_rule``; a row's verdict depends on its own text alone."""
-    kept, fired = verdict(rules)
-    return statistics(docs, text_col).withColumn("kept", kept).withColumn("fired_rule", fired)
+def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """docs with statistics, ``kept`` and ``fired_rule``; a row's verdict depends on its own text and the rules alone.
+
+    The statistics are written once with the rows: a filter on ``kept`` then reads them and is not pushed into the
+    expressions that made them. An empty table, or one without labels, is judged by the base rule only.
+    """
+    stats = save(statistics(docs, text_col), "judged")
+    kept, fired = verdict(learn_rules(stats, labels, **how))
+    return stats.withColumn("kept", kept).withColumn("fired_rule", fired)
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    return judge(docs, labels, **how).where("kept")
