@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, mixing, pii, sentence_spans, simhash, tiling
+from . import decision_list, mixing, pii, ppm, sentence_spans, simhash, tiling
 from .common import save, table
 
 
+def fold_of(id_col: str, folds: int = 5):
+    """crc32 of the id as text, modulo the folds."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
 def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = save(decision_list.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "statistics")
     kept, _ = decision_list.verdict(decision_list.learn_rules(stats, table(spark, sf_dir, "labels")))
@@ -45,10 +50,18 @@ def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold_of("doc_id") == 0
+    model = ppm.train(docs.where(~F.coalesce(held, F.lit(False))))
+    return ppm.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_pivotal_mixing": op3_pivotal_mixing,
     "op4_sentence_spans": op4_sentence_spans,
     "op5_string_tiling": op5_string_tiling,
+    "op6_ppm_language": op6_ppm_language,
     "op7_simhash": op7_simhash,
     "op10_pii_votes": op10_pii_votes,
     "op8_decision_list": op8_decision_list,
