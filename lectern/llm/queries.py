@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, mixing, pii, ppm, sentence_spans, simhash, tiling
+from . import decision_list, hmm, mixing, pii, ppm, sentence_spans, simhash, tiling
 from .common import save, table
 
 
@@ -50,6 +50,10 @@ def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), fold_of("doc_id") != 1)
+
+
 def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold_of("doc_id") == 0
@@ -58,6 +62,7 @@ def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hmm": op1_hmm,
     "op3_pivotal_mixing": op3_pivotal_mixing,
     "op4_sentence_spans": op4_sentence_spans,
     "op5_string_tiling": op5_string_tiling,
