@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, hmm, mixing, pii, ppm, sentence_spans, simhash, tiling
+from . import decision_list, hmm, mixing, pii, ppm, sentence_spans, simhash, tiling, warc
 from .common import save, table
 
 
@@ -54,6 +54,11 @@ def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), fold_of("doc_id") != 1)
 
 
+def op2_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold_of("doc_id") == 0
@@ -64,6 +69,7 @@ def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hmm": op1_hmm,
     "op3_pivotal_mixing": op3_pivotal_mixing,
+    "op2_warc_merge": op2_warc_merge,
     "op4_sentence_spans": op4_sentence_spans,
     "op5_string_tiling": op5_string_tiling,
     "op6_ppm_language": op6_ppm_language,
@@ -72,4 +78,13 @@ QUERIES = {
     "op8_decision_list": op8_decision_list,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_merge": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
+}
