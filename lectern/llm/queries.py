@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, hmm, mixing, pii, ppm, sentence_spans, simhash, tiling, warc
+from . import decision_list, hmm, mixing, pii, ppm, sentence_spans, simhash, tiling, warc, weak_labels
 from .common import save, table
 
 
@@ -42,6 +42,10 @@ def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item_tokens", "matched_tokens", "n_tiles", "coverage")
 
 
+def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(table(spark, sf_dir, "documents"))
+
+
 def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda c: c["base"])
@@ -74,6 +78,7 @@ QUERIES = {
     "op5_string_tiling": op5_string_tiling,
     "op6_ppm_language": op6_ppm_language,
     "op7_simhash": op7_simhash,
+    "op9_weak_labels": op9_weak_labels,
     "op10_pii_votes": op10_pii_votes,
     "op8_decision_list": op8_decision_list,
 }
