@@ -116,8 +116,9 @@ def rank_wording(profiles: DataFrame, tests: DataFrame, fillers: tuple[str, ...]
     left_out = test.select("test_id", "session_id").distinct()
     # Profiles are names times a few dozen features.
     less = profiles.select("name", F.col("session_id").alias("_s"), "feature", F.col("n").alias("_less"))
-    held = left_out.join(small(all_)).join(less, (F.col("_s") == left_out["session_id"]) & (less["name"] == all_["name"]) & (less["feature"] == all_["feature"]), "left")
-    held = held.select("test_id", all_["name"], all_["feature"], (F.col("n") - F.coalesce("_less", F.lit(0))).alias("n")).where("n > 0")
+    less = less.select("_s", F.col("name").alias("_name"), F.col("feature").alias("_feature"), "_less")
+    held = left_out.join(small(all_)).join(less, (F.col("_s") == F.col("session_id")) & (F.col("_name") == F.col("name")) & (F.col("_feature") == F.col("feature")), "left")
+    held = held.select("test_id", "name", "feature", (F.col("n") - F.coalesce("_less", F.lit(0))).alias("n")).where("n > 0")
     vocab = held.select("test_id", "feature").union(test.select("test_id", "feature")).distinct().groupBy("test_id").agg(F.count("*").alias("_v"))
     total = held.groupBy("test_id", "name").agg(F.sum("n").alias("_t")).join(vocab, "test_id")
     scored = total.join(test.select("test_id", "feature", "cnt"), "test_id").join(held, ["test_id", "name", "feature"], "left")

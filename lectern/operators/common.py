@@ -33,3 +33,29 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: floa
     first = F.floor(F.greatest("start", "r_start") / width)
     joined = a.join(b, [*keys, "_b"]).where((F.col("_b") == first) & (F.least("end_time", "r_end") > F.greatest("start", "r_start")))
     return joined.drop("_b").withColumn("overlap", F.least("end_time", "r_end") - F.greatest("start", "r_start"))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df through the checkpoint folder of the session; a temporary one only where none is set."""
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+    return df.checkpoint()
+
+
+def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """(node, root): the smallest node that edges (a, b) reach. Labels spread to neighbours and then jump to their own label's label."""
+    both = cut_lineage(edges.union(edges.select("b", "a")).distinct())
+    now = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    for _ in range(max_rounds):
+        near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("root").alias("_n"))
+        spread = now.join(near, now["node"] == near["a"], "left").select("node", F.least("root", "_n").alias("root"), F.col("root").alias("_old"))
+        jump = spread.select(F.col("node").alias("_j"), F.col("root").alias("_r"))
+        new = cut_lineage(spread.join(jump, spread["root"] == jump["_j"], "left").select("node", F.least("root", "_r").alias("root"), "_old"))
+        changed = new.where(F.col("root") != F.col("_old")).limit(1).count()
+        now = new.drop("_old")
+        if not changed:
+            return now
+    raise RuntimeError("components did not settle")

@@ -152,11 +152,11 @@ def join18(events, lines):
 @query("join19_quietest_window", """
     WITH s AS (SELECT session_id % 10 AS session_id, line_id AS span_id, CAST(line_id % 4 AS INT) AS speaker, CAST(line_id % 500 AS DOUBLE) AS a, CAST(line_id % 500 AS DOUBLE) + 12 AS e FROM lines),
     f AS (SELECT s.session_id, span_id, t.start, t.end_time FROM s JOIN turns t ON t.session_id = s.session_id AND t.speaker <> s.speaker AND t.start < s.e AND t.end_time > s.a),
-    c AS (SELECT DISTINCT session_id, span_id, a, e, least(greatest(x, a), greatest(a, e - 4)) AS at FROM (
+    c AS (SELECT DISTINCT session_id, span_id, a, e, least(greatest(x, a), greatest(a, e - 4)) AS t0 FROM (
        SELECT session_id, span_id, a, e, unnest([a, (a + e - 4) / 2, e - 4]) AS x FROM s UNION ALL
        SELECT s.session_id, span_id, a, e, unnest([f.end_time, f.start - 4]) AS x FROM s JOIN f USING (session_id, span_id)) y),
-    o AS (SELECT c.session_id, c.span_id, c.at, c.a, c.e, round(coalesce(sum(greatest(0, least(least(c.at + 4, c.e), f.end_time) - greatest(c.at, f.start))), 0), 3) AS "foreign" FROM c LEFT JOIN f USING (session_id, span_id) GROUP BY 1, 2, 3, 4, 5)
-    SELECT session_id, span_id, at AS start, "foreign" FROM o QUALIFY row_number() OVER (PARTITION BY session_id, span_id ORDER BY "foreign", round(abs(at + 2 - (a + e) / 2), 6), at) = 1""")
+    o AS (SELECT c.session_id, c.span_id, c.t0, c.a, c.e, round(coalesce(sum(greatest(0, least(least(c.t0 + 4, c.e), f.end_time) - greatest(c.t0, f.start))), 0), 3) AS "foreign" FROM c LEFT JOIN f USING (session_id, span_id) GROUP BY 1, 2, 3, 4, 5)
+    SELECT session_id, span_id, t0 AS start, "foreign" FROM o QUALIFY row_number() OVER (PARTITION BY session_id, span_id ORDER BY "foreign", round(abs(t0 + 2 - (a + e) / 2), 6), t0) = 1""")
 def join19(lines, turns):
     at = (F.col("line_id") % 500).cast("double")
     spans = lines.select((F.col("session_id") % 10).alias("session_id"), F.col("line_id").alias("span_id"), (F.col("line_id") % 4).cast("int").alias("speaker"), at.alias("start"), (at + 12).alias("end_time"))

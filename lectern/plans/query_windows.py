@@ -67,8 +67,8 @@ def win5(runs):
 @query("win6_join_lines", """
     WITH r AS (SELECT *, CAST(floor((line_id % 1000) / 2) AS BIGINT) AS run FROM runs)
     SELECT session_id, run, min(line_id) AS line_id, min(start) AS start, max_by(end_time, line_id) AS end_time,
-           string_agg(CASE WHEN trim(source) <> '' THEN trim(source) END, CASE WHEN lang = 'zh' THEN '' ELSE ' ' END ORDER BY line_id) AS source
-    FROM (SELECT r.*, first_value(lang) OVER (PARTITION BY session_id, run) AS l2 FROM r) x GROUP BY session_id, run, lang""")
+           CASE WHEN lang = 'zh' THEN coalesce(string_agg(CASE WHEN trim(source) <> '' THEN trim(source) END, '' ORDER BY line_id), '') ELSE coalesce(string_agg(CASE WHEN trim(source) <> '' THEN trim(source) END, ' ' ORDER BY line_id), '') END AS source
+    FROM r GROUP BY session_id, run, lang""")
 def win6(runs):
     r = runs.withColumn("run", F.floor(F.col("line_id") % 1000 / 2))
     return O.join_lines(r).select("session_id", "run", "line_id", "start", "end_time", "source")

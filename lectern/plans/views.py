@@ -18,7 +18,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT line_id, 'de' AS lang, substr(source, 5, 9) AS text FROM lines WHERE line_id % 3 = 0"""),
     "runs": (("lines",), """
         SELECT line_id, session_id, start, end_time, CASE WHEN CAST(floor((line_id % 1000) / 3) AS BIGINT) % 2 = 0 THEN 'S1' ELSE 'S2' END AS speaker,
-               lang, concat(rtrim(rtrim(rtrim(replace(substr(source, 1, 40), chr(10), ' '), '. '), '. '), '. '), CASE WHEN line_id % 1000 % 3 = 2 THEN '.' ELSE '' END) AS source,
+               lang, concat(regexp_replace(replace(substr(source, 1, 40), chr(10), ' '), '[. ]+$', ''), CASE WHEN line_id % 1000 % 3 = 2 THEN '.' ELSE '' END) AS source,
                status, refined
         FROM lines"""),
     "sessions": (("lines",), """
