@@ -102,9 +102,9 @@ def cut(text, ranges):
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with the repeated sentences cut out of the text, and ``removed`` (null where nothing was)."""
-    lost = repeated_spans(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), "row", F.col("removed").alias("_removed"))
+    lost = repeated_spans(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), F.col("row").alias("_lost"), F.col("removed").alias("_removed"))
     keyed = docs.select("*", F.xxhash64(docs[id_col], docs[text_col]).alias("_row"))
-    joined = keyed.join(lost, keyed[id_col].eqNullSafe(lost["_id"]) & (F.col("_row") == F.col("row")), "left")
+    joined = keyed.join(lost, keyed[id_col].eqNullSafe(lost["_id"]) & (F.col("_row") == F.col("_lost")), "left")
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_removed")))
     own = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "removed"]
     return joined.select(*own, F.col("_removed").alias("removed"))
