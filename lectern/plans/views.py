@@ -36,7 +36,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "turns": ((), """
         SELECT event_id AS turn_id, session_id, start, start + value AS end_time, CAST(event_id % 4 AS INT) AS speaker
         FROM (SELECT event_id, value, user_id % 10 AS session_id,
-                     floor((unix_micros(CAST(ts AS TIMESTAMP)) - min(unix_micros(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY user_id % 10)) / 1000000.0) / 64.0 AS start
+                     CAST(floor((unix_micros(CAST(ts AS TIMESTAMP)) - min(unix_micros(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY user_id % 10)) / 1000000) AS DOUBLE) / 64 AS start
               FROM events) x"""),
     "media": (("sessions",), """
         SELECT session_id AS media_id, CAST(session_id % 97 AS DOUBLE) * 10 + 0.5 AS seconds FROM sessions
