@@ -119,8 +119,8 @@ def audit_summary(replies: DataFrame, lines: DataFrame) -> tuple[DataFrame, Data
     bars = r"(?s)^(.*)\|\|\s*\[?#?(-?[0-9]{1,15})\]?\s*$"
     tail = r"[\s(（]*\[([0-9]{1,15})\](?:\s*[-–~]\s*\[?[0-9]+\]?)?[)）\s。，,.、]*$"
     cited = F.coalesce(F.regexp_extract("_b", bars, 2).try_cast("long"), F.when(~F.col("_b").contains("||") | (F.col("section") == "ACTIONS"), F.regexp_extract("_b", tail, 1).try_cast("long")))
-    known = lines.select("session_id", F.col("line_id").alias("_known"))
-    checked = items.withColumn("_cited", cited).join(known, (items["session_id"] == known["session_id"]) & (F.col("_cited") == F.col("_known")), "left").drop(known["session_id"])
+    known = lines.select(F.col("session_id").alias("_ks"), F.col("line_id").alias("_known"))
+    checked = items.withColumn("_cited", cited).join(known, (F.col("session_id") == F.col("_ks")) & (F.col("_cited") == F.col("_known")), "left").drop("_ks")
     by_bars = F.col("_b").rlike(bars)
     listed = F.trim(F.regexp_replace("_b", r"\|\|[^|]*$", ""))
     closed = F.when(F.col("_known").isNotNull(), F.rtrim(F.regexp_replace("_b", tail, ""))).otherwise(F.col("_b"))
