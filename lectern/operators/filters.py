@@ -72,6 +72,7 @@ def is_noise(text: Column) -> Column:
     return (F.trim(F.regexp_replace(text, r"(?U)\s", "")) != "") & (F.regexp_replace(left, r"[ \t\n\r\-–—.,]", "") == "")
 
 
+#: One character of Han, kana or hangul, or one Latin word (fixed pattern).
 TOKEN = r"[\x{4e00}-\x{9fff}\x{3041}-\x{30ff}\x{ac00}-\x{d7a3}]|[A-Za-z\x{c0}-\x{1ef9}]+"
 
 

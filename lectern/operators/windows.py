@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .common import first_per
 
+#: Marks that end a sentence (fixed values).
 TERMINAL = "。．.！!？?…"
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as O
 from ..operators import windows as W
-from .registry import QUERIES, query
-from .views import view
+from .registry import ORACLE_SQL, QUERIES, query
+from .views import view, with_views
 
 _COS = "list_cosine_similarity(CAST({}.centroid AS DOUBLE[]), CAST({}.centroid AS DOUBLE[]))"
 _CLIPS = "clips AS (SELECT DISTINCT name, session_id FROM speaker_names WHERE session_id % 3 = 0 UNION SELECT concat('N', vec_id % 15) AS name, vec_id + 5000 AS session_id FROM known_prints)"
@@ -194,3 +194,10 @@ def _ask(spark, sf_dir):
 
 
 QUERIES["ask_pipeline"] = _ask
+ORACLE_SQL["ask_pipeline"] = with_views("""
+    WITH h AS (SELECT session_id, count(*) AS hits FROM (SELECT session_id FROM lines JOIN sessions USING (session_id)
+        WHERE contains(translate(source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'tion') ORDER BY session_id DESC, start, line_id LIMIT 400) x GROUP BY 1),
+    i AS (SELECT session_id, row_number() OVER (ORDER BY started DESC, session_id DESC) AS place FROM sessions QUALIFY row_number() OVER (ORDER BY started DESC, session_id DESC) <= 60),
+    p AS (SELECT session_id FROM (SELECT h.session_id, hits, place FROM h LEFT JOIN i USING (session_id) UNION ALL SELECT session_id, 0, place FROM i WHERE session_id NOT IN (SELECT session_id FROM h)) y ORDER BY hits DESC, place NULLS LAST, session_id DESC LIMIT 8)
+    SELECT l.session_id, l.line_id, l.start, coalesce(n.name, l.speaker) AS who, l.source, CAST((SELECT count(*) FROM translations t WHERE t.line_id = l.line_id) AS INT) AS n_translations
+    FROM lines l JOIN p USING (session_id) LEFT JOIN speaker_names n ON n.session_id = l.session_id AND n.code = l.speaker""", "lines", "sessions", "translations", "speaker_names")
