@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,9 +86,6 @@ class Vocabulary:
     distinct: int
     least: int
 
-    def class_of(self, word: bytes) -> int:
-        return zlib.crc32(word[-3:]) % len(self.class_total)
-
     @property
     def norm(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
@@ -115,33 +113,26 @@ def _encode(vocab_of, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocab_of.value
-        code, first, memo = v.code, len(v.code), {}
+        get, first, classes = v.code.get, len(v.code), np.uint32(len(v.class_total))
         log_count, log_class = np.log10(v.count + 0.5), np.log10(v.class_total)
 
-        def symbol(w: bytes) -> int:
-            c = code.get(w)
-            if c is None:
-                c = memo.get(w[-3:])
-                if c is None:
-                    if len(memo) > 100_000:
-                        memo.clear()
-                    c = memo[w[-3:]] = first + v.class_of(w)
-            return c
-
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
             for t in b.column(3):
                 w = tokens(t.as_py())
-                sym = np.fromiter(map(symbol, w), np.uint16, len(w))
-                own = sym < first
+                sym = np.fromiter(map(get, w, repeat(-1)), np.int32, len(w))
+                own = sym >= 0
                 base = float(log_count[sym[own]].sum())
                 other = np.flatnonzero(~own)
-                h = np.fromiter((xxhash.xxh64_intdigest(w[k], 42) for k in other.tolist()), np.uint64, len(other))
+                rest = [w[k] for k in other.tolist()]
+                kind = np.fromiter(map(zlib.crc32, [x[-3:] for x in rest]), np.uint32, len(rest)) % classes
+                sym[other] = first + kind
+                h = np.fromiter(map(xxhash.xxh64_intdigest, rest, repeat(42)), np.uint64, len(rest))
                 at = np.minimum(np.searchsorted(v.hashes, h), max(len(v.hashes) - 1, 0))
                 known = v.hashes[at] == h if len(v.hashes) else np.zeros(len(h), bool)
                 log_known = float(np.log10(v.hash_counts[at[known]] + 0.5).sum())
-                share = log_known - float(log_class[sym[other].astype(np.int64) - first].sum())
-                for c, x in zip(cols, (len(w), int(own.sum() + known.sum()), base + log_known, share, sym.tobytes(), h[~known].view(np.int64)), strict=True):
+                share = log_known - float(log_class[kind].sum())
+                for c, x in zip(cols, (len(w), int(own.sum() + known.sum()), base + log_known, share, sym.astype(np.uint16).tobytes(), h[~known].view(np.int64)), strict=True):
                     c.append(x)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "row", "train", "n_tokens", "n_known", "base", "share", "syms", "open"])
@@ -174,31 +165,36 @@ def block_counts(m: Model, sym: np.ndarray, length: np.ndarray, first: np.ndarra
     """
     n, width = sym.shape
     k = len(m.start)
-    inside = np.arange(width)[None, :] < length[:, None]
-    e = np.where(inside[:, :, None], m.emit[sym], 1.0).astype(np.float32)
-    alpha, scale = np.empty((width, n, k), np.float32), np.empty((width, n), np.float32)
-    move = m.move.astype(np.float32)
-    a = np.where(first[:, None], m.start, m.resume).astype(np.float32) * e[:, 0]
+    # Time first, so that each step reads one block of memory. The row after the last symbol is that of padding.
+    inside = np.arange(width)[:, None] < length[None, :]
+    coded = np.where(inside, sym.T, len(m.emit))
+    e = np.vstack([m.emit, np.ones(k)]).astype(np.float32)[coded]
+    alpha, scale = np.empty((width, n, k), np.float32), np.empty((width, n, 1), np.float32)
+    move, back = m.move.astype(np.float32), np.ascontiguousarray(m.move.T, np.float32)
+    ones = np.ones((k, 1), np.float32)  # a product with it sums faster than sum(axis=1)
+    a = np.where(first[:, None], m.start, m.resume).astype(np.float32)
     for t in range(width):
-        if t:
-            a = (a @ move) * e[:, t]
-        scale[t] = a.sum(axis=1)
-        a = a / scale[t][:, None]
-        alpha[t] = a
+        np.multiply(a @ move if t else a, e[t], out=alpha[t])
+        np.matmul(alpha[t], ones, out=scale[t])
+        alpha[t] /= scale[t]
+        a = alpha[t]
     out = Model(np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit))
     beta = np.ones((n, k), np.float32)
-    gamma = np.empty((width, n, k), np.float32)
+    weight = inside.astype(np.float32)[:, :, None]
     for t in range(width - 1, -1, -1):
-        gamma[t] = alpha[t] * beta
         if t:
-            seen = e[:, t] * beta / scale[t][:, None]
-            out.move += (alpha[t - 1] * inside[:, t, None]).T.astype(np.float64) @ seen
-            beta = seen @ move.T
+            e[t] *= beta
+            e[t] /= scale[t]
+            ahead = e[t] @ back
+            out.move += (alpha[t - 1] * weight[t]).T @ e[t]
+        alpha[t] *= beta  # from here on the posterior
+        if t:
+            beta = ahead
     out.move *= m.move
-    out.start, out.resume = gamma[0][first].sum(axis=0, dtype=np.float64), gamma[0][~first].sum(axis=0, dtype=np.float64)
-    flat, places = sym[inside], gamma.transpose(1, 0, 2)[inside]
+    out.start, out.resume = alpha[0][first].sum(axis=0, dtype=np.float64), alpha[0][~first].sum(axis=0, dtype=np.float64)
+    flat = coded.ravel()
     for j in range(k):
-        out.emit[:, j] = np.bincount(flat, places[:, j], len(m.emit))
+        out.emit[:, j] = np.bincount(flat, alpha[:, :, j].ravel(), len(m.emit) + 1)[:-1]
     return out, float(np.log(scale).sum(dtype=np.float64))
 
 
