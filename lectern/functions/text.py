@@ -44,6 +44,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1, so that a dot product is a cosine; zeros stay."""
+    size = F.array(F.sqrt(dot(a, a)))
+    return F.get(F.transform(size, lambda n: F.transform(a, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))), F.lit(0))
+
+
 def convert_script(text: Column, source: str, target: str) -> Column:
     """Character by character; source and target list the characters that differ, in step."""
     return F.translate(text, source, target)

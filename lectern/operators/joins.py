@@ -90,8 +90,9 @@ def nearest_line(ref: DataFrame, hyp: DataFrame, tolerance: int = 5) -> DataFram
 
 def voice_scores(prints: DataFrame, known: DataFrame) -> DataFrame:
     """(session_id, code, name, score): the best cosine of a print to any variant of each name."""
-    variants = small(known.select("name", F.col("centroid").alias("_k")), 20_000)
-    return prints.join(variants).withColumn("_c", T.cosine(F.col("centroid"), F.col("_k"))).groupBy("session_id", "code", "name").agg(F.max("_c").alias("score"))
+    variants = small(known.select("name", T.unit(F.col("centroid")).alias("_k")), 20_000)
+    each = prints.select("session_id", "code", T.unit(F.col("centroid")).alias("_p"))
+    return each.join(variants).withColumn("_c", T.dot(F.col("_p"), F.col("_k"))).groupBy("session_id", "code", "name").agg(F.max("_c").alias("score"))
 
 
 def match_voice(prints: DataFrame, known: DataFrame, floor: float = 0.80, margin: float = 0.05) -> DataFrame:

@@ -52,9 +52,9 @@ def cluster_voices(vectors: DataFrame, threshold: float = 0.65) -> DataFrame:
     vectors: session_id, item (long), centroid. A merge needs every cross pair at the threshold, so no merge leaves a
     connected component of the pairs at the threshold: pairs are found first, and each component is linked by itself.
     """
-    a = vectors.select("session_id", F.col("item").alias("_a"), F.col("centroid").alias("_x"))
-    b = vectors.select("session_id", F.col("item").alias("_b"), F.col("centroid").alias("_y"))
-    near = a.join(b, "session_id").where((F.col("_a") < F.col("_b")) & (T.cosine(F.col("_x"), F.col("_y")) >= threshold))
+    a = vectors.select("session_id", F.col("item").alias("_a"), T.unit(F.col("centroid")).alias("_x"))
+    b = vectors.select("session_id", F.col("item").alias("_b"), T.unit(F.col("centroid")).alias("_y"))
+    near = a.join(b, "session_id").where((F.col("_a") < F.col("_b")) & (T.dot(F.col("_x"), F.col("_y")) >= threshold))
     node = lambda c: F.struct("session_id", F.col(c).alias("item"))
     roots = components(near.select(node("_a").alias("a"), node("_b").alias("b"))).select(F.col("node.session_id").alias("session_id"), F.col("node.item").alias("item"), F.col("root.item").alias("_root"))
     held = vectors.join(roots, ["session_id", "item"], "left")
