@@ -244,9 +244,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every accepted span of the text replaced by its kind in brackets; of overlapping spans the first names both."""
-    # Written once with the rows, so that the patterns run once and the plans that read them stay small.
-    found = save(candidates(docs, text_col), "pii-rows")
-    weights = learn(found)
+    # Candidates are found twice, which costs less than writing every text with them; learning reads a narrow table, since
+    # Spark would push the explode's filter into the expressions that made them.
+    weights = learn(save(candidates(docs.select(text_col), text_col).select("_c"), "pii"))
+    found = candidates(docs, text_col)
     spans = F.sort_array(F.transform(accepted(weights), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
     name = lambda k: F.get(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k)
     text = F.col(f"`{text_col}`")
