@@ -22,15 +22,32 @@ _CUT = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: A sentence of so many words or more is cut. No piece is longer, and a passage of 51 words holds three whole ones
+#: wherever it starts: at most 9 words go before its first cut and 10 after its last.
+WINDOW = 10
+
+
+def _cuts(words: list[str], window: int) -> list[int]:
+    """Where a long sentence is cut: before the word of least hash in each run of window words."""
+    if len(words) < window:
+        return []
+    h = np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in words), np.uint64, len(words))
+    least = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)
+    return [k for k in np.unique(least + np.arange(len(least))).tolist() if k]
+
+
 def sentences(text: str, longest: int) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) in code points. A sentence ends after . ! or ? before a blank, or at a line's end; one of
-    more than ``longest`` words is read as pieces of that many."""
+    """(start, end, words) in code points. A sentence ends after . ! or ? before a blank, or at a line's end; a long
+    one is read as pieces of at most ``longest`` words, cut where only the words around decide."""
     out, at = [], 0
+    window = min(longest, WINDOW)
     for stop in [*(m.span() for m in _CUT.finditer(text)), (len(text), len(text))]:
         words = list(_WORD.finditer(text, at, stop[0]))
-        for k in range(0, len(words), longest):
-            part = words[k : k + longest]
-            out.append((part[0].start(), part[-1].end(), [w[0] for w in part]))
+        edges = [0, *_cuts([w[0] for w in words], window), len(words)]
+        for k, end in zip(edges, edges[1:], strict=False):
+            part = words[k:end]
+            if part:
+                out.append((part[0].start(), part[-1].end(), [w[0] for w in part]))
         at = stop[1]
     return out
 
