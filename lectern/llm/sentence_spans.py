@@ -62,11 +62,17 @@ def _span_rows(run: int, longest: int, min_words: int):
                 sizes = [len(w) for _, _, w in found]
                 seen: set[int] = set()
                 for i in range(len(found) - run + 1):
-                    if sum(sizes[i : i + run]) < min_words:
-                        continue
-                    h = xxhash.xxh64_intdigest("\n".join(keys[i : i + run]))
+                    # A run under the minimum goes on to the next sentences until it reaches it.
+                    end = i + run
+                    total = sum(sizes[i:end])
+                    while total < min_words and end < len(found):
+                        total += sizes[end]
+                        end += 1
+                    if total < min_words:
+                        break
+                    h = xxhash.xxh64_intdigest("\n".join(keys[i:end]))
                     pick.append(k)
-                    for c, v in zip(cols, (h, found[i][0], found[i + run - 1][1], h in seen, len(found)), strict=True):
+                    for c, v in zip(cols, (h, found[i][0], found[end - 1][1], h in seen, len(found)), strict=True):
                         c.append(v)
                     seen.add(h)
             chosen = pa.array(pick, pa.int32())
@@ -81,7 +87,7 @@ def _span_rows(run: int, longest: int, min_words: int):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, longest: int = 16, min_words: int = 10) -> DataFrame:
     """(id, row, n_sentences, first_ids, removed): what each text loses, as merged ranges of code points.
 
-    Texts that lose nothing have no row. Spans of fewer than min_words words do not count. Words are compared in
+    Texts that lose nothing have no row. A span of fewer than min_words words goes on until it has them. Words are compared in
     lower case and blanks do not matter. Null texts have no sentence. Rows of one id count as one document, so none
     of them loses a span to another; rows repeated in full lose the same. A null id comes before all others.
     """

@@ -15,3 +15,10 @@ def test_passages_planted_mid_sentence_are_found(spark):
             rows.append((2 * k + side, " ".join([*(word() for _ in range(lead)), passage, *(word() for _ in range(5))])))
     got = {r.doc_id for r in sentence_spans.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == set(range(1, 80, 2))
+
+
+def test_repeats_of_one_word_sentences_are_found(spark):
+    shout = " ".join(f"Word{k}!!" for k in range(60))
+    rows = [(1, f"First lead. {shout}"), (2, f"Some other lead here. {shout}"), (3, "Yes! No! Well! Other words.")]
+    got = {r.doc_id: r.removed for r in sentence_spans.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {2} and [x.end - x.start for x in got[2]] == [len(shout)]
