@@ -24,10 +24,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """name with underscores behind it until no column of taken has it; Spark's names ignore case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def whole(columns: list[str]) -> Column:
+    """The columns as one struct ``doc``: beside it an operator's own names can not clash with theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc")
+
+
+def parts(columns: list[str], of: str = "doc") -> list[Column]:
+    """The columns back out of ``doc``."""
+    return [F.col(f"{of}.`{c}`").alias(c) for c in columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is set."""
+    """The folder that the driver and all executors see, from spark.checkpoint.dir. Where that is unset, a temporary
+    folder will do on one machine, and on a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, save, words
+from .common import drop_saved, fresh, let, parts, save, whole, words
 
 #: Statistics that conditions may test, as ratios so that they do not depend on length.
 TESTED = {
@@ -80,33 +80,32 @@ def repeated_window_words(hashes: Column, width: int) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(F.lit(0)).cast("long")
 
 
-def statistics(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:
-    """docs with the statistics of each whole text as further columns; docs' own columns of those names go.
+def statistics(docs: DataFrame, text_col: str = "text", window: int = 5, keep: list[str] | None = None) -> DataFrame:
+    """``doc`` (docs' columns, or those of keep, as one struct) and the statistics of each whole text beside it.
 
-    A null text counts as empty: every count is 0. Repeated rows each get their own.
+    A null text counts as empty: every count is 0. Repeated rows each get their own; an empty table gives an empty
+    result. Columns of docs keep their names and values inside ``doc``, whatever they are called.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_capitals", "n_marks", "base_failed", *TESTED]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in own]
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    with_words = docs.select(*kept, docs[text_col].alias("_text")).withColumn("_w", words(F.col("_text")))
-    with_lines = with_words.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn(
-        "_l", F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    with_words = docs.select(whole(docs.columns if keep is None else keep), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    with_words = with_words.withColumn("w", words(F.col("text")))
+    with_lines = with_words.withColumn("h", F.transform("w", lambda w: F.xxhash64(w))).withColumn(
+        "l", F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     )
     hashes = F.when(
-        F.size("_h") >= window,
-        F.transform(F.slice("_h", F.lit(1), F.size("_h") - (window - 1)), lambda h, i: F.xxhash64(h, *(F.get(F.col("_h"), i + k) for k in range(1, window)))),
+        F.size("h") >= window,
+        F.transform(F.slice("h", F.lit(1), F.size("h") - (window - 1)), lambda h, i: F.xxhash64(h, *(F.get(F.col("h"), i + k) for k in range(1, window)))),
     ).otherwise(F.array().cast("array<bigint>"))
-    counted = with_lines.withColumn("_x", hashes).select(
-        *kept,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col("_x"), window).alias("n_repeat_words"),
-        F.size(F.array_distinct("_h")).cast("long").alias("n_distinct_words"),
-        F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
-        F.regexp_count(text, F.lit("[.,;:!?]")).cast("long").alias("n_marks"),
+    counted = with_lines.withColumn("x", hashes).select(
+        "doc",
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.size("l").cast("long").alias("n_lines"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        repeated_window_words(F.col("x"), window).alias("n_repeat_words"),
+        F.size(F.array_distinct("h")).cast("long").alias("n_distinct_words"),
+        F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        F.regexp_count("text", F.lit("[.,;:!?]")).cast("long").alias("n_marks"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumns({name: make() for name, make in TESTED.items()})
@@ -116,46 +115,53 @@ def _foil_gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else -1.0
 
 
+def _cuts(rows: DataFrame, names: list[str], bins: int) -> dict[str, list[float]]:
+    """Thresholds to try: quantiles of all values, of the values over 0 and of the values of bad rows. A statistic that
+    is 0 for most rows has few quantiles of its own, and what parts good from bad lies between the others."""
+    share = [k / bins for k in range(bins + 1)]
+    views = {"all": lambda c: F.col(c), "some": lambda c: F.when(F.col(c) > 0, F.col(c)), "bad": lambda c: F.when(F.col("bad"), F.col(c))}
+    got = rows.agg(*(F.percentile_approx(of(c), share, 10_000).alias(f"{c} {v}") for c in names for v, of in views.items())).first()
+    return {c: sorted({x for v in views for x in got[f"{c} {v}"] or []}) for c in names}
+
+
 def learn_rules(
     stats: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     label_col: str = "quality",
-    bins: int = 24,
+    bins: int = 16,
     max_rules: int = 6,
     max_conditions: int = 3,
     min_precision: float = 0.85,
     min_cover: int = 5,
 ) -> list[Rule]:
-    """Rules that reject, in order, from the labelled rows that pass the base rule.
+    """Rules that reject, in order, from the labelled rows that pass the base rule. stats: as statistics() gives them.
 
-    The class to find is label 0. Labels that are null or contradict each other for one document are left out.
-    Without labels of both classes there are no rules. Equal gains go to the first statistic by name, then to the
-    lower threshold.
+    The class to find is label 0. Labels that are null or contradict each other for one document are left out; a
+    repeated row counts as often as it occurs. Without labels of both classes there are no rules. Equal gains go to the
+    first statistic by name, then to the lower threshold.
     """
-    one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
-    one = one.agg(F.min(label_col).alias("_lo"), F.max(label_col).alias("_hi")).where("_lo = _hi").select("_id", (F.col("_lo") == 0).alias("_bad"))
-    rows = stats.where(~F.col("base_failed")).select(F.col(id_col).alias("_id"), *TESTED).join(one, "_id")
-    rows = save(rows.withColumn("_prune", F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(3)) == 0), "labelled")
+    one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
+    one = one.agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = hi").select("id", (F.col("lo") == 0).alias("bad"))
     names = sorted(TESTED)
-    cuts_row = rows.agg(*(F.percentile_approx(c, [k / bins for k in range(bins + 1)], 10_000).alias(c) for c in names)).first()
-    cuts = {c: sorted(set(cuts_row[c] or [])) for c in names}
+    # Written before it is filtered: Spark would push the filter into the expressions that make the statistics.
+    slim = save(stats.select(F.col(f"doc.`{id_col}`").alias("id"), "base_failed", *names), "slim")
+    rows = save(slim.where("NOT base_failed").join(one, "id").withColumn("prune", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(3)) == 0), "labelled")
+    drop_saved(slim)
+    cuts = _cuts(rows, names, bins)
     if not any(cuts.values()):
         return []
     # The bin of a value: how many cuts lie below it.
-    binned = rows.select(
-        "_bad",
-        "_prune",
-        *names,
-        F.array(*(F.struct(F.lit(c).alias("f"), sum((F.col(c) > v).cast("int") for v in cuts[c]).alias("b")) for c in names)).alias("_bins"),
-    )
+    bins_of = F.array(*(F.struct(F.lit(c).alias("f"), sum((F.col(c) > v).cast("int") for v in cuts[c]).alias("b")) for c in names))
+    binned = save(rows.select("bad", "prune", *names, bins_of.alias("bins")), "binned")
+    drop_saved(rows)
     rules: list[Rule] = []
     left = binned
     for _ in range(max_rules):
         rule: Rule = ()
         while len(rule) < max_conditions:
-            counts = left.where(~F.col("_prune") & holds(rule)).select("_bad", F.explode("_bins").alias("x")).groupBy("x.f", "x.b")
-            found = counts.agg(F.count_if("_bad").alias("p"), F.count_if(~F.col("_bad")).alias("n")).collect()
+            counts = left.where(~F.col("prune") & holds(rule)).select("bad", F.explode("bins").alias("x")).groupBy("x.f", "x.b")
+            found = counts.agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
             best = _best_condition(found, cuts)
             if best is None:
                 break
@@ -165,11 +171,12 @@ def learn_rules(
         if not rule:
             break
         rule = _pruned(left, rule)
-        p, n = _cover(left.where("_prune"), rule)
+        p, n = _cover(left.where("prune"), rule)
         if p < min_cover or p / (p + n) < min_precision:
             break
         rules.append(rule)
         left = left.where(~holds(rule))
+    drop_saved(binned)
     return rules
 
 
@@ -192,15 +199,15 @@ def _best_condition(found: list, cuts: dict[str, list[float]]) -> tuple[Conditio
 
 
 def _cover(rows: DataFrame, rule: Rule) -> tuple[int, int]:
-    r = rows.where(holds(rule)).agg(F.count_if("_bad").alias("p"), F.count_if(~F.col("_bad")).alias("n")).first()
+    r = rows.where(holds(rule)).agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).first()
     return r["p"], r["n"]
 
 
 def _pruned(rows: DataFrame, rule: Rule) -> Rule:
     """The prefix of the rule with the best (p - n) / (p + n) on the pruning rows; the shorter of equals."""
     prefixes = [rule[: k + 1] for k in range(len(rule))]
-    sums = [x for k, r in enumerate(prefixes) for x in (F.count_if(holds(r) & F.col("_bad")).alias(f"p{k}"), F.count_if(holds(r) & ~F.col("_bad")).alias(f"n{k}"))]
-    got = rows.where("_prune").agg(*sums).first()
+    sums = [x for k, r in enumerate(prefixes) for x in (F.count_if(holds(r) & F.col("bad")).alias(f"p{k}"), F.count_if(holds(r) & ~F.col("bad")).alias(f"n{k}"))]
+    got = rows.where("prune").agg(*sums).first()
     worth = [(got[f"p{k}"] - got[f"n{k}"]) / max(1, got[f"p{k}"] + got[f"n{k}"]) for k in range(len(rule))]
     return prefixes[max(range(len(rule)), key=lambda k: (worth[k], -k))]
 
@@ -214,15 +221,19 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
 
 
 def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """docs with statistics, ``kept`` and ``fired_rule``; a row's verdict depends on its own text and the rules alone.
+    """docs with ``kept`` and ``fired_rule``; a row's verdict depends on its own text and the rules alone.
 
     The statistics are written once with the rows: a filter on ``kept`` then reads them and is not pushed into the
-    expressions that made them. An empty table, or one without labels, is judged by the base rule only.
+    expressions that made them. A null or empty text fails the base rule; repeated rows share their verdict; an empty
+    table gives an empty result; without labels the base rule judges alone. If docs has columns of the new names, those
+    stay as they are and the new ones get an underscore.
     """
     stats = save(statistics(docs, text_col), "judged")
     kept, fired = verdict(learn_rules(stats, labels, **how))
-    return stats.withColumn("kept", kept).withColumn("fired_rule", fired)
+    return stats.select(*parts(docs.columns), kept.alias(fresh(docs.columns, "kept")), fired.alias(fresh(docs.columns, "fired_rule")))
 
 
-def kept_rows(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    return judge(docs, labels, **how).where("kept")
+def kept_rows(docs: DataFrame, labels: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that judge() keeps, with docs' columns as they were: nulls, repeated rows, empty tables and
+    clashing names as there."""
+    return judge(docs, labels, text_col, **how).where(F.col(fresh(docs.columns, "kept"))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -63,7 +63,7 @@ def word_counts(texts: DataFrame, flush: int = 200_000) -> DataFrame:
 
 
 def _least_count(histogram: list[tuple[int, int]], most: int) -> int:
-    """The smallest n such that at most ``most`` words have a count of n or more."""
+    """The smallest step n such that at most ``most`` words have a count of n or more."""
     total, least = 0, 1 << 62
     for n, words in sorted(histogram, reverse=True):
         total += words
@@ -92,8 +92,11 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
-    got = counts.groupBy("n").agg(F.count("*").alias("words")).collect()  # as many rows as there are distinct counts
-    histogram = [(r["n"], r["words"]) for r in got]
+    # Counts of 64 and over share a step with those of the same leading six bits, so there are a few thousand steps.
+    low = F.greatest(F.length(F.bin("n")) - 6, F.lit(0)).cast("int")
+    steps = counts.withColumn("low", low).groupBy(F.expr("shiftleft(shiftright(n, low), low)").alias("step"))
+    got = steps.agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+    histogram = [(r["step"], r["words"]) for r in got]
     own, sent = _least_count(histogram, s.symbols), _least_count(histogram, s.symbols + s.sent)
     head = counts.where(F.col("n") >= own).toArrow()
     words = sorted(zip(head["word"].to_pylist(), head["n"].to_pylist(), strict=True))
@@ -105,20 +108,20 @@ def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     total = np.full(s.classes, 0.5)  # of each class: its tokens and half a token for each of its words and for new ones
     for r in classes:
         total[r["c"]] = r["n"] + 0.5 * (r["v"] + 1)
-    return Vocabulary({w: k for k, (w, _) in enumerate(words)}, np.array([c for _, c in words], np.int64), h[order], n[order].astype(np.uint32), total, sum(a * b for a, b in histogram), sum(b for _, b in histogram), sent)
+    return Vocabulary({w: k for k, (w, _) in enumerate(words)}, np.array([c for _, c in words], np.int64), h[order], n[order].astype(np.uint32), total, sum(r["n"] for r in got), sum(b for _, b in histogram), sent)
 
 
 def _encode(vocab_of, width: int):
-    """Rows (id, row, train, text) to symbols and what is known of the counts; hashes of words to be joined stay open."""
+    """Rows (id, row, train, held, text) to symbols and what is known of the counts; hashes of words to be joined stay open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocab_of.value
+        v = Vocabulary(**vocab_of.value)
         get, first, classes = v.code.get, len(v.code), np.uint32(len(v.class_total))
         log_count, log_class = np.log10(v.count + 0.5), np.log10(v.class_total)
 
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for t in b.column(3):
+            for t in b.column(4):
                 w = tokens(t.as_py())
                 sym = np.fromiter(map(get, w, repeat(-1)), np.int32, len(w))
                 own = sym >= 0
@@ -135,7 +138,7 @@ def _encode(vocab_of, width: int):
                 for c, x in zip(cols, (len(w), int(own.sum() + known.sum()), base + log_known, share, sym.astype(np.uint16).tobytes(), h[~known].view(np.int64)), strict=True):
                     c.append(x)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "row", "train", "n_tokens", "n_known", "base", "share", "syms", "open"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "row", "train", "held", "n_tokens", "n_known", "base", "share", "syms", "open"])
 
     return run
 
@@ -202,7 +205,7 @@ def _expect(model_of, block: int, at_once: int = 1024):
     """Each task's expected counts: rows (kind, at, values), one for each symbol it saw and each row of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model_of.value
+        m = Model(**model_of.value)
         k = len(m.start)
         total, loglik = Model(np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit)), 0.0
         held: list[tuple[np.ndarray, bool]] = []
@@ -242,7 +245,7 @@ def train(encoded: DataFrame, unigram: np.ndarray, s: Settings) -> tuple[Model,
     m, rows, history = first_model(unigram, s), encoded.where("train").select("syms"), []
     schema = "at int, " + ", ".join(f"v{j} double" for j in range(s.states))
     for _ in range(s.rounds):
-        sent = sc.broadcast(m)
+        sent = sc.broadcast(vars(m))  # plain arrays: tasks need not have the package
         got = rows.mapInArrow(_expect(sent, s.block), schema).groupBy("at").agg(*(F.sum(f"v{j}").alias(f"v{j}") for j in range(s.states))).toArrow()
         at = got["at"].to_numpy()
         values = np.column_stack([got[f"v{j}"].to_numpy() for j in range(s.states)]) if len(at) else np.zeros((0, s.states))
@@ -282,7 +285,7 @@ def forward(m: Model, texts: list[np.ndarray]) -> np.ndarray:
 
 def _score(model_of, at_once: int = 4096):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model_of.value
+        m = Model(**model_of.value)
         for b in batches:
             for k in range(0, b.num_rows, at_once):
                 part = b.slice(k, at_once)
@@ -295,16 +298,17 @@ def _score(model_of, at_once: int = 4096):
 def score(docs: DataFrame, is_train, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    is_train is a condition on docs' columns; null means not. A null or empty text is the end alone. Repeated rows
-    each count. With no training row every word is new; an empty table gives an empty result.
+    is_train is a condition on docs' columns; null means neither to learn from the row nor to call it held out. A null
+    or empty text is the end alone. Repeated rows each count. With no training row every word is new; an empty table
+    gives an empty result. Columns of docs other than those asked for are not read.
     """
     s, sc = settings, docs.sparkSession.sparkContext
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(is_train, F.lit(False)).alias("train"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(is_train, F.lit(False)).alias("train"), F.coalesce(~is_train, F.lit(False)).alias("held"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     counts = save(word_counts(slim.where("train").select("text")), "word-counts")
     v = vocabulary(counts, s)
-    sent = sc.broadcast(v)
+    sent = sc.broadcast(vars(v))
     id_type = slim.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, row long, train boolean, n_tokens long, n_known long, base double, share double, syms binary, open array<long>"
+    schema = f"id {id_type}, row long, train boolean, held boolean, n_tokens long, n_known long, base double, share double, syms binary, open array<long>"
     encoded = save(slim.mapInArrow(_encode(sent, s.classes), schema), "encoded")
     size = np.concatenate([v.count, v.class_total])
     model, _ = train(encoded, size / size.sum(), s)
@@ -312,13 +316,13 @@ def score(docs: DataFrame, is_train, id_col: str = "doc_id", text_col: str = "te
     tail = counts.where(F.col("n") < v.least).select(F.xxhash64(F.col("word").cast("string")).alias("h"), "n")
     opened = encoded.where(F.size("open") > 0).select("row", F.explode("open").alias("h"))
     found = opened.join(tail, "h", "left").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("log_open"))
-    scored = encoded.select("id", "row", "train", "n_tokens", "n_known", "base", "share", "syms").mapInArrow(
-        _score(sc.broadcast(model)), f"id {id_type}, row long, train boolean, n_tokens long, n_known long, base double, share double, log_syms double"
+    scored = encoded.select("id", "row", "train", "held", "n_tokens", "n_known", "base", "share", "syms").mapInArrow(
+        _score(sc.broadcast(vars(model))), f"id {id_type}, row long, train boolean, held boolean, n_tokens long, n_known long, base double, share double, log_syms double"
     )
     log_open = F.coalesce("log_open", F.lit(0.0))
     return scored.join(found, "row", "left").select(
         F.col("id").alias(id_col),
-        (~F.col("train")).alias("held_out"),
+        F.col("held").alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(v.total).cast("long").alias("train_tokens"),

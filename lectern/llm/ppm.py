@@ -1,9 +1,9 @@
 """Language identification by prediction by partial matching.
 
-Texts are read as bytes, folded to classes: a-z (either case), one class for all other ASCII, and the commonest bytes
-of 128 and over. For each language the training texts give counts of every context of up to three classes; escape
-method C blends the orders. The counts are frozen into tables of code lengths, and a text's cost in a language is the
-exact sum over its bytes. The shortest code wins.
+For each language the training texts give counts of every byte in the context of up to three bytes before it, A-Z in
+lower case. Each order is a level of the language's context tree; escape method C leads from a context that has not
+seen a byte to the next shorter one. The counts are frozen into code lengths, and a text's cost in a language is the
+exact sum over its bytes. The shortest code wins. Languages are scored in groups whose tables are bounded.
 """
 
 from __future__ import annotations
@@ -15,168 +15,256 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import drop_saved, save
 
-#: Classes of a byte: 0 for ASCII other than letters, 1 to 26 letters, 27 to 62 the commonest high bytes, 63 the other high bytes.
-CLASSES = 64
-HIGH = 36
-_BITS = 6
+#: Branches that a language's tree keeps at each of the two deepest levels: the most frequent ones over all its texts.
+#: The two upper levels are whole. So a group's tables are bounded whatever the corpus.
+NODES = 1 << 17
+#: Languages whose tables one task holds at a time.
+GROUP = 8
+_SLOTS = 1 << 22
 
 
-def fold_table(high: list[int]) -> np.ndarray:
-    table = np.zeros(256, np.uint32)
-    table[65:91] = table[97:123] = np.arange(1, 27)
-    table[128:] = CLASSES - 1
-    for k, b in enumerate(high[:HIGH]):
-        table[b] = 27 + k
-    return table
-
-
-def grams(text: bytes, fold: np.ndarray) -> np.ndarray:
-    """For each byte the three classes before it and its own, 6 bits each; a text starts after three zeros."""
+def grams(text: bytes) -> np.ndarray:
+    """For each byte the three bytes before it and its own, as one number; a text starts after three zeros."""
     c = np.zeros(len(text) + 3, np.uint32)
-    c[3:] = fold[np.frombuffer(text, np.uint8)]
-    return (c[:-3] << 18) | (c[1:-2] << 12) | (c[2:-1] << 6) | c[3:]
-
-
-def _high_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(256, np.int64)
-    for b in batches:
-        for t in b.column(0):
-            counts += np.bincount(np.frombuffer(t.as_buffer(), np.uint8), minlength=256)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["byte", "n"])
+    c[3:] = np.frombuffer(text.lower(), np.uint8)
+    return (c[:-3] << 24) | (c[1:-2] << 16) | (c[2:-1] << 8) | c[3:]
 
 
-def _count_rows(fold: np.ndarray, flush: int = 1 << 22):
-    """(lang, gram, n) of a partition, combined before the shuffle; a language holds at most flush grams in memory."""
+def _count_rows(flush: int = 1 << 22):
+    """(lang, gram, n) of a partition, combined before the shuffle; all languages together hold at most flush grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
-        size: dict[str, int] = {}
+        size = 0
 
-        def give(lang: str) -> pa.RecordBatch:
-            g, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            size[lang] = 0
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+        def give() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                g, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            held.clear()
 
         for b in batches:
             for t, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                g = grams(t.as_buffer(), fold)
+                g = grams(t.as_buffer().to_pybytes())
                 held.setdefault(lang, []).append(g)
-                size[lang] = size.get(lang, 0) + len(g)
-                if size[lang] >= flush:
-                    yield give(lang)
-        for lang in list(held):
-            yield give(lang)
+                size += len(g)
+                if size >= flush:
+                    yield from give()
+                    size = 0
+        yield from give()
 
     return run
 
 
-class Model:
-    """Frozen code lengths, in bits, of all languages side by side."""
-
-    def __init__(self, langs: list[str], fold: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        self.langs, self.fold = langs, fold
-        k = len(langs)
-        below = np.full((CLASSES, k), np.log2(CLASSES))  # order -1: all classes alike
-        for order in range(3):  # contexts of 0, 1, 2 classes: full tables
-            width = CLASSES ** (order + 1)
-            counts = np.zeros((k, width))
-            np.add.at(counts, (lang, gram & (width - 1)), n)
-            c = counts.reshape(k, -1, CLASSES)
-            total, kinds = c.sum(axis=2), (c > 0).sum(axis=2)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, np.log2((total + kinds) / kinds), 0.0)
-                seen = np.log2(total + kinds)[:, :, None] - np.log2(c)
-            lower = np.tile(below.T.reshape(k, -1), (1, CLASSES if order else 1)).reshape(k, -1, CLASSES)
-            cost = np.where(c > 0, seen, escape[:, :, None] + lower)
-            below = cost.reshape(k, -1).T.copy()
-        self.low = below.astype(np.float32)  # by the last two classes and the byte's own
-        context = gram >> _BITS
-        total, kinds = np.zeros((CLASSES**3, k)), np.zeros((CLASSES**3, k))
-        np.add.at(total, (context, lang), n)
-        np.add.at(kinds, (context, lang), 1)
+def tree_counts(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", nodes: int = NODES) -> DataFrame:
+    """(lang, level, gram, n): the branches of each language's tree, a gram of level + 1 bytes each, level 0 to 3.
+
+    All rows with text and language are counted. Of the levels 2 and 3 the ``nodes`` most frequent branches stay, ties
+    at the edge left out; what is left out costs an escape. The table is written.
+    """
+    known = rows.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull() & (F.col(f"`{text_col}`") != ""))
+    slim = known.select(F.col(f"`{text_col}`").cast("binary").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    full = save(slim.mapInArrow(_count_rows(), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    levels = [full.select("lang", F.lit(3).alias("level"), "gram", "n")]
+    for level in (2, 1, 0):
+        shorter = levels[-1].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * (level + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
+        levels.append(shorter.select("lang", F.lit(level).alias("level"), "gram", "n"))
+    every = levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3])
+    # How often the last branch that stays was seen, from counts whose leading six bits tell them apart.
+    low = F.greatest(F.length(F.bin("n")) - 6, F.lit(0)).cast("int")
+    floor = F.expr("shiftleft(shiftright(n, low), low)")
+    steps = levels[0].unionByName(levels[1]).withColumn("low", low).groupBy("lang", "level", floor.alias("floor")).agg(F.count("*").alias("k"))
+    fits = F.struct("lang", "level").alias("of")
+    sums = steps.groupBy(fits).agg(F.sort_array(F.collect_list(F.struct("floor", "k")), asc=False).alias("s"))
+    reach = F.aggregate(
+        "s",
+        F.struct(F.lit(0).cast("long").alias("k"), F.lit(None).cast("long").alias("least")),
+        lambda a, x: F.struct((a["k"] + x["k"]).alias("k"), F.when(a["k"] + x["k"] <= nodes, x["floor"]).otherwise(a["least"]).alias("least")),
+        lambda a: a["least"],
+    )
+    least = sums.select("of.lang", "of.level", F.coalesce(reach, F.lit(1 << 62)).alias("least"))
+    kept = every.join(F.broadcast(least), ["lang", "level"], "left").where((F.col("level") < 2) | (F.col("n") >= F.col("least")))
+    return save(kept.select("lang", "level", "gram", "n"), "tree")
+
+
+def tables(langs: list[str], lang: np.ndarray, level: np.ndarray, gram: np.ndarray, n: np.ndarray) -> dict:
+    """Code lengths in bits of the languages side by side, as plain arrays: they travel to tasks by value.
+
+    deep and mid: (sorted grams, bits by gram and language) of the levels 3 and 2; escapes: (contexts, bits) of level 3;
+    flat: bits of level 1; leave: escape bits of level 2.
+    """
+    k = len(langs)
+
+    def shares(lv: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(grams, contexts, bits where seen else inf, escape bits by context, place of each gram's context)."""
+        own = level == lv
+        known, at = np.unique(gram[own], return_inverse=True)
+        ctx, of = np.unique(known >> 8, return_inverse=True)
+        counts = np.zeros((len(known), k))
+        np.add.at(counts, (at, lang[own]), n[own])
+        total, kinds = np.zeros((len(ctx), k)), np.zeros((len(ctx), k))
+        np.add.at(total, of, counts)
+        np.add.at(kinds, of, counts > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            self.escape = np.where(total > 0, np.log2((total + kinds) / kinds), 0.0).astype(np.float32)
-        self.known = np.unique(gram)
-        row = np.searchsorted(self.known, gram)
-        high = self.escape[self.known >> _BITS] + self.low[self.known & (CLASSES**3 - 1)]
-        high[row, lang] = np.log2(total[context, lang] + kinds[context, lang]) - np.log2(n)
-        self.high = high.astype(np.float32)
-        self._slot = None
-
-    def cost(self, text: bytes) -> np.ndarray:
-        """Bits of the whole text in each language."""
-        if self._slot is None:  # 64 MB, built once in each worker and not sent
-            self._slot = np.full(CLASSES**4, -1, np.int32)
-            self._slot[self.known] = np.arange(len(self.known), dtype=np.int32)
-        total = np.zeros(len(self.langs))
+            bits = np.where(counts > 0, np.log2(total + kinds)[of] - np.log2(counts), np.inf)
+            away = np.where(total > 0, np.log2((total + kinds) / kinds), 0.0)
+        return known, ctx, bits, away, of
+
+    def settle(bits: np.ndarray, away: np.ndarray, below: np.ndarray) -> np.ndarray:
+        return np.where(np.isfinite(bits), bits, away + below)
+
+    known, _, bits, away, _ = shares(0)
+    root = np.full((256, k), 8.0) + (away[0] if len(away) else 0.0)
+    root[known] = settle(bits, away[:1] if len(away) else np.zeros((1, k)), np.full((len(known), k), 8.0))
+    known, ctx, bits, away, of = shares(1)
+    flat = np.tile(root, (256, 1))
+    leave = np.zeros((256, k))
+    leave[ctx] = away
+    flat += np.repeat(leave, 256, axis=0)
+    flat[known] = settle(bits, away[of], root[known & 0xFF])
+    known2, ctx, bits, away, of = shares(2)
+    leave = np.zeros((1 << 16, k), np.float32)
+    leave[ctx] = away
+    mid = settle(bits, away[of], flat[known2 & 0xFFFF])
+    known3, ctx3, bits, away, of = shares(3)
+    short = known3 & 0xFFFFFF
+    at = np.minimum(np.searchsorted(known2, short), max(len(known2) - 1, 0))
+    hit = known2[at] == short if len(known2) else np.zeros(len(short), bool)
+    below = leave[short >> 8] + flat[short & 0xFFFF]
+    below[hit] = mid[at[hit]]
+    deep = settle(bits, away[of], below)
+    small = lambda x: x.astype(np.float32)
+    return {"langs": langs, "deep": (known3, small(deep)), "escapes": (ctx3, small(away)), "mid": (known2, small(mid)), "flat": small(flat), "leave": leave}
+
+
+def _finder(known: np.ndarray):
+    """A lookup of numbers in known: their places, -1 for others. Numbers meet in slots by hash."""
+    mix = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+    slot = mix(known)
+    order = np.argsort(slot, kind="stable")
+    slot = slot[order]
+    start = np.full(_SLOTS + 1, -1, np.int32)
+    first = np.flatnonzero(np.diff(slot, prepend=-1))
+    start[slot[first]] = first
+    longest = int(np.diff(np.append(first, len(slot))).max()) if len(slot) else 0
+    keys = np.append(known[order], np.full(longest, -1))
+    place = np.append(order, np.full(longest, -1))
+
+    def find(x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), -1, np.int64)
+        at = start[mix(x)]
+        rest = np.flatnonzero(at >= 0)
+        at = at[rest].astype(np.int64)
+        for _ in range(longest):
+            same = keys[at] == x[rest]
+            out[rest[same]] = place[at[same]]
+            rest, at = rest[~same], at[~same] + 1
+            if not len(rest):
+                break
+        return out
+
+    return find
+
+
+def coder(t: dict):
+    """cost(text): bits of the whole text in each language of the tables."""
+    deep, escape, mid = (_finder(t[x][0]) for x in ("deep", "escapes", "mid"))
+
+    def cost(text: bytes) -> np.ndarray:
+        total = np.zeros(len(t["langs"]))
+        add = lambda x: np.add(total, x.sum(axis=0, dtype=np.float64), out=total)
         # Long texts go piece by piece; a piece reads the three bytes before it.
         for at in range(0, len(text), 1 << 18):
             back = min(at, 3)
-            g = grams(text[at - back : at + (1 << 18)], self.fold)[back:]
-            row = self._slot[g]
-            found = row >= 0
-            total += self.high.take(row[found], axis=0).sum(axis=0, dtype=np.float64)
-            if not found.all():
-                g = g[~found]
-                total += (self.escape[g >> _BITS] + self.low[g & (CLASSES**3 - 1)]).sum(axis=0, dtype=np.float64)
+            g = grams(text[at - back : at + (1 << 18)])[back:].astype(np.int64)
+            place = deep(g)
+            found = place >= 0
+            add(t["deep"][1].take(place[found], axis=0))
+            if found.all():
+                continue
+            g = g[~found]
+            place = escape(g >> 8)
+            add(t["escapes"][1].take(place[place >= 0], axis=0))
+            g &= 0xFFFFFF
+            place = mid(g)
+            found = place >= 0
+            add(t["mid"][1].take(place[found], axis=0))
+            g = g[~found]
+            if len(g):
+                add(t["leave"].take(g >> 8, axis=0))
+                add(t["flat"].take(g & 0xFFFF, axis=0))
         return total
 
-    def __getstate__(self):
-        return self.__dict__ | {"_slot": None}
+    return cost
 
 
-def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_langs: int = 64) -> Model | None:
-    """The model of the rows with text and language, None if there are none.
+def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", nodes: int = NODES, group: int = GROUP) -> list[dict]:
+    """The tables of the rows' languages, ``group`` languages each; none if no row has text and language.
 
-    Tables grow with the number of languages, so more than max_langs is an error. The counts are bounded by the
-    classes, not by the corpus: at most 64**4 grams.
+    What comes to the driver is one group's branches at a time: at most group * 2 * (nodes + 2**15) rows.
     """
-    known = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.col(text_col) != ""))
-    slim = known.select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
-    # Which high bytes get a class of their own: by count, then by value.
-    high = slim.select("text").mapInArrow(_high_rows, "byte int, n long").where("byte >= 128").groupBy("byte").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "byte").limit(HIGH).collect()
-    fold = fold_table([r["byte"] for r in high])
-    counts = save(slim.mapInArrow(_count_rows(fold), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").limit(max_langs + 1).collect()]
-    if not langs:
-        return None
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    got = counts.orderBy("lang", "gram").toArrow()
-    codes = {x: k for k, x in enumerate(langs)}
-    lang = np.array([codes[x] for x in got["lang"].to_pylist()], np.int64)
-    return Model(langs, fold, lang, got["gram"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.float64))
-
-
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, bits_per_byte) of each whole text.
+    tree = tree_counts(rows, text_col, lang_col, nodes)
+    langs = sorted(r["lang"] for r in tree.where("level = 0").select("lang").distinct().collect())
+    out = []
+    for k in range(0, len(langs), group):
+        part = langs[k : k + group]
+        codes = {x: j for j, x in enumerate(part)}
+        # A dictionary of the language would travel with every row; its number does not.
+        number = F.coalesce(*(F.when(F.col("lang") == x, j) for x, j in codes.items()))
+        got = tree.select(number.alias("lang"), "level", "gram", "n").where("lang IS NOT NULL").toArrow()
+        lang, level, gram, n = (got[c].to_numpy() for c in ("lang", "level", "gram", "n"))
+        out.append(tables(part, lang, level, gram, n.astype(float)))
+    drop_saved(tree)
+    return out
 
-    und with score 0 for null texts and texts without a letter, or if nothing was learned. score is the posterior of
-    the chosen language under equal priors; equal costs go to the first language by name.
-    """
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+
+def _predicted(docs: DataFrame, model: dict) -> DataFrame:
+    """(id, row, bytes, lang, cost, mass) by one group of languages; mass: the group's weight if the best has 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        langs, cost = sent.value["langs"], coder(sent.value)
         for b in batches:
-            lang, score, rate = [], [], []
-            for t, letters in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                if not letters or m is None:
-                    lang.append("und")
-                    score.append(0.0)
-                    rate.append(None)
-                    continue
-                text = t.as_buffer().to_pybytes()
-                cost = m.cost(text)
-                k = int(cost.argmin())
-                lang.append(m.langs[k])
-                score.append(float(1.0 / np.exp2(np.maximum(cost[k] - cost, -1000.0)).sum()))
-                rate.append(float(cost[k] / len(text)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["id", "lang_pred", "score", "bits_per_byte"])
-
-    id_type = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {id_type}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+            cols: list[list] = [[] for _ in range(4)]
+            for t, letters in zip(b.column(2), b.column(3).to_pylist(), strict=True):
+                row = (None, None, None, None)
+                if letters:
+                    text = t.as_buffer().to_pybytes()
+                    c = cost(text)
+                    k = int(c.argmin())
+                    row = (len(text), langs[k], float(c[k]), float(np.exp2(np.maximum(c[k] - c, -1000.0)).sum()))
+                for col, x in zip(cols, row, strict=True):
+                    col.append(x)
+            kinds = [pa.int64(), pa.string(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, x) for c, x in zip(cols, kinds, strict=True))], ["id", "row", "bytes", "lang", "cost", "mass"])
+
+    id_type = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {id_type}, row long, bytes long, lang string, cost double, mass double")
+
+
+def predict(docs: DataFrame, model: list[dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, lang_pred, score, bits_per_byte of each whole text.
+
+    und with score 0 for null texts and texts without a letter, or if nothing was learned. score is the posterior of
+    the chosen language under equal priors; equal costs go to the first language by name. Repeated rows each keep a
+    row; an empty table gives an empty result; columns of docs other than the two are not read.
+    """
+    text = F.col(f"`{text_col}`")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), text.cast("binary").alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    if not model:
+        best = slim.select("id", F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("cost"), F.lit(None).cast("double").alias("mass"))
+    elif len(model) == 1:
+        best = _predicted(slim, model[0])
+    else:
+        # Each group of languages reads the texts; rows of equal id and text have equal results, so one stands for all.
+        each = [save(_predicted(slim, m), "costs") for m in model]
+        rows = each[0]
+        all_ = each[0].drop("id").distinct()
+        for e in each[1:]:
+            all_ = all_.unionByName(e.drop("id").distinct())
+        per = all_.groupBy("row").agg(F.first("bytes").alias("bytes"), F.min(F.when(F.col("cost").isNotNull(), F.struct("cost", "lang"))).alias("b"), F.collect_list(F.struct("cost", "mass")).alias("m"))
+        mass = F.aggregate("m", F.lit(0.0), lambda a, x: a + F.coalesce(x["mass"] * F.pow(F.lit(2.0), F.greatest(F.col("b.cost") - x["cost"], F.lit(-1000.0))), F.lit(0.0)))
+        best = rows.select("id", "row").join(per.select("row", "bytes", F.col("b.lang").alias("lang"), F.col("b.cost").alias("cost"), mass.alias("mass")), "row")
+    return best.select(F.col("id").alias(id_col), F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.coalesce(1 / F.col("mass"), F.lit(0.0)).alias("score"), (F.col("cost") / F.col("bytes")).alias("bits_per_byte"))

@@ -15,9 +15,9 @@ def fold_of(id_col: str, folds: int = 5):
 
 
 def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = save(decision_list.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "statistics")
+    stats = save(decision_list.statistics(table(spark, sf_dir, "documents"), keep=["doc_id"]), "statistics")
     kept, _ = decision_list.verdict(decision_list.learn_rules(stats, table(spark, sf_dir, "labels")))
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return stats.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.score(table(spark, sf_dir, "documents"), fold_of("doc_id") != 1)
+    return hmm.score(table(spark, sf_dir, "documents"), F.coalesce(fold_of("doc_id") != 1, F.lit(True)))
 
 
 def op2_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

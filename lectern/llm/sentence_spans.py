@@ -1,106 +1,117 @@
 """Substring dedup on sliding sentence spans.
 
-Every run of a few consecutive sentences is hashed. A span's first place is the smallest document that has it, and
-there its first occurrence; every sentence that lies in another occurrence goes. The first document comes from a
-grouped minimum, which combines before the shuffle, and the rows then join on the span.
+Every run of a few consecutive sentences is hashed. A span's first place is the smallest row that has it, and there its
+first occurrence; every sentence that lies in another occurrence goes. The first row comes from a grouped minimum,
+which combines before the shuffle, and the rows then join on the span.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import fresh, parts, save, whole
 
 _CUT = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-#: A sentence of so many words or more is cut. No piece is longer, and a passage of 51 words holds three whole ones
-#: wherever it starts: at most 9 words go before its first cut and 10 after its last.
+#: A sentence of so many words or more is cut. A passage of 51 words holds three whole pieces wherever it starts: at
+#: most 9 words go before its first cut and 10 after its last.
 WINDOW = 10
 
 
-def _cuts(words: list[str], window: int) -> list[int]:
-    """Where a long sentence is cut: before the word of least hash in each run of window words."""
-    if len(words) < window:
+def pieces(text: str, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes of the words in lower case, first word of each piece and the number of words).
+
+    A sentence ends after . ! or ? before a blank, or at a line's end. A sentence of ``window`` words or more is cut
+    before the word of least hash in each run of window words, so where it is cut depends on the words around alone.
+    """
+    spans = [m.span() for m in _WORD.finditer(text)]
+    n = len(spans)
+    if not n:
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64), np.zeros(1, np.int64))
+    starts, ends = np.array(spans, np.int64).T
+    h = np.fromiter(map(xxhash.xxh64_intdigest, text.lower().split() if text.isascii() else [text[a:b].lower() for a, b in spans]), np.uint64, n)
+    stops = np.fromiter((m.start() for m in _CUT.finditer(text)), np.int64)
+    # The sentence of a word: how many stops lie before it.
+    sentence = np.searchsorted(stops, starts, side="right")
+    new = np.flatnonzero(np.diff(sentence, prepend=-1))
+    if n >= window:
+        least = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(n - window + 1)
+        inside = sentence[: n - window + 1] == sentence[window - 1 :]
+        new = np.union1d(new, least[inside])
+    return starts, ends, h, np.append(new, n)
+
+
+def span_hashes(text: str, run: int, min_words: int, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """(hash, check, start, end) of every run of ``run`` pieces, each made longer until it has min_words words.
+
+    A text of fewer pieces is one span as a whole, if it has the words.
+    """
+    starts, ends, h, cut = pieces(text, window)
+    n = len(cut) - 1
+    if len(h) < min_words or not n:
         return []
-    h = np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in words), np.uint64, len(words))
-    least = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)
-    return [k for k in np.unique(least + np.arange(len(least))).tolist() if k]
-
-
-def sentences(text: str, longest: int) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) in code points. A sentence ends after . ! or ? before a blank, or at a line's end; a long
-    one is read as pieces of at most ``longest`` words, cut where only the words around decide."""
-    out, at = [], 0
-    window = min(longest, WINDOW)
-    for stop in [*(m.span() for m in _CUT.finditer(text)), (len(text), len(text))]:
-        words = list(_WORD.finditer(text, at, stop[0]))
-        edges = [0, *_cuts([w[0] for w in words], window), len(words)]
-        for k, end in zip(edges, edges[1:], strict=False):
-            part = words[k:end]
-            if part:
-                out.append((part[0].start(), part[-1].end(), [w[0] for w in part]))
-        at = stop[1]
+    last = np.maximum(np.arange(n) + run, np.searchsorted(cut, cut[:-1] + min_words))
+    if n < run:
+        last = np.full(1, n)
+    data, out = h.tobytes(), []
+    for i, e in enumerate(last[last <= n].tolist()):
+        a, b = int(cut[i]), int(cut[e])
+        key = data[8 * a : 8 * b]
+        out.append((xxhash.xxh64_intdigest(key), zlib.crc32(key), int(starts[a]), int(ends[b - 1])))
     return out
 
 
-def _span_rows(run: int, longest: int, min_words: int):
+def _span_rows(run: int, window: int, min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pick, cols = [], [[] for _ in range(5)]
             for k, text in enumerate(b.column(2)):
-                found = sentences(text.as_py() or "", longest)
-                keys = [" ".join(w).lower() for _, _, w in found]
-                sizes = [len(w) for _, _, w in found]
-                seen: set[int] = set()
-                for i in range(len(found) - run + 1):
-                    # A run under the minimum goes on to the next sentences until it reaches it.
-                    end = i + run
-                    total = sum(sizes[i:end])
-                    while total < min_words and end < len(found):
-                        total += sizes[end]
-                        end += 1
-                    if total < min_words:
-                        break
-                    h = xxhash.xxh64_intdigest("\n".join(keys[i:end]))
-                    pick.append(k)
-                    for c, v in zip(cols, (h, found[i][0], found[end - 1][1], h in seen, len(found)), strict=True):
+                seen: set[tuple[int, int]] = set()
+                found = span_hashes(text.as_py() or "", run, min_words, window)
+                pick += [k] * len(found)
+                for h, check, start, end in found:
+                    for c, v in zip(cols, (h, check, start, end, (h, check) in seen), strict=True):
                         c.append(v)
-                    seen.add(h)
+                    seen.add((h, check))
             chosen = pa.array(pick, pa.int32())
+            signed = [pa.array(np.array(cols[0], np.uint64).view(np.int64)), pa.array(np.array(cols[1], np.uint32).view(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(chosen), b.column(1).take(chosen), pa.array(np.array(cols[0], np.uint64).view(np.int64)), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.int32())],
-                ["id", "row", "span", "start", "end", "again", "n_sentences"],
+                [b.column(0).take(chosen), b.column(1).take(chosen), *signed, pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.bool_())],
+                ["id", "row", "span", "check", "start", "end", "again"],
             )
 
     return rows
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, longest: int = 16, min_words: int = 10) -> DataFrame:
-    """(id, row, n_sentences, first_ids, removed): what each text loses, as merged ranges of code points.
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
-    Texts that lose nothing have no row. A span of fewer than min_words words goes on until it has them. Words are compared in
-    lower case and blanks do not matter. Null texts have no sentence. Rows of one id count as one document, so none
-    of them loses a span to another; rows repeated in full lose the same. A null id comes before all others.
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, window: int = WINDOW, min_words: int = 10) -> DataFrame:
+    """(id, row, first_ids, removed): what each text loses, as merged ranges of code points.
+
+    Texts that lose nothing have no row. A span of fewer than min_words words goes on until it has them, and a text of
+    fewer than ``run`` sentences is one span; a text under min_words has none. Words are compared in lower case and
+    blanks do not matter. Null texts have no sentence. Rows are told apart by id and text, null ids too: the first is
+    the one of the smallest id, null before all others, then by a hash of its text. Rows repeated in full lose the
+    same. An empty table gives an empty result. Columns of docs other than the two are not read.
     """
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(docs[id_col], docs[text_col]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("row"), F.col(f"`{text_col}`").alias("text"))
     id_type = slim.schema["id"].dataType.simpleString()
-    rows = save(slim.mapInArrow(_span_rows(run, longest, min_words), f"id {id_type}, row long, span long, start int, end int, again boolean, n_sentences int"), "spans")
+    rows = save(slim.mapInArrow(_span_rows(run, window, min_words), f"id {id_type}, row long, span long, check int, start int, end int, again boolean"), "spans")
     once = rows.where(~F.col("again"))
-    firsts = once.groupBy("span").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("nulls")).where("n > 1")
-    firsts = firsts.select("span", F.when(F.col("nulls") == 0, F.col("first_id")).alias("first_id"))
-    other = once.join(firsts, "span").where(~F.col("id").eqNullSafe(F.col("first_id")))
-    own = rows.where("again").withColumn("first_id", F.col("id"))
-    lost = other.select("id", "row", "n_sentences", "start", "end", "first_id").unionByName(own.select("id", "row", "n_sentences", "start", "end", "first_id"))
-    per_row = lost.groupBy("id", "row").agg(F.max("n_sentences").alias("n_sentences"), F.sort_array(F.collect_set("first_id")).alias("first_ids"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"))
+    firsts = once.groupBy("span", "check").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    other = once.join(firsts, ["span", "check"]).where((F.col("row") != F.col("first.row")) | ~F.col("id").eqNullSafe(F.col("first.id")))
+    lost = other.select("id", "row", "start", "end", F.col("first.id").alias("first_id")).unionByName(rows.where("again").select("id", "row", "start", "end", F.col("id").alias("first_id")))
+    per_row = lost.groupBy("id", "row").agg(F.sort_array(F.collect_set("first_id")).alias("first_ids"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     merged = F.aggregate(
         "all",
@@ -110,7 +121,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .otherwise(F.struct(F.array_append(a["done"], F.struct(a["start"].alias("start"), a["end"].alias("end"))).alias("done"), x["start"].alias("start"), x["end"].alias("end"))),
         lambda a: F.array_append(a["done"], F.struct(a["start"].alias("start"), a["end"].alias("end"))),
     )
-    return per_row.select(F.col("id").alias(id_col), "row", "n_sentences", "first_ids", merged.alias("removed"))
+    return per_row.select(F.col("id").alias(id_col), "row", "first_ids", merged.alias("removed"))
 
 
 def cut(text, ranges):
@@ -124,10 +135,15 @@ def cut(text, ranges):
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with the repeated sentences cut out of the text, and ``removed`` (null where nothing was)."""
-    lost = repeated_spans(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), F.col("row").alias("_lost"), F.col("removed").alias("_removed"))
-    keyed = docs.select("*", F.xxhash64(docs[id_col], docs[text_col]).alias("_row"))
-    joined = keyed.join(lost, keyed[id_col].eqNullSafe(lost["_id"]) & (F.col("_row") == F.col("_lost")), "left")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_removed")))
-    own = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "removed"]
-    return joined.select(*own, F.col("_removed").alias("removed"))
+    """docs with the repeated sentences cut out of the text, and ``removed`` (null where nothing was).
+
+    Null ids, null and short texts, repeated rows and empty tables as in repeated_spans: every row of docs has a row. If
+    docs has a column ``removed`` it stays as it is, and the new one gets an underscore.
+    """
+    lost = repeated_spans(docs, id_col, text_col, **how).select("row", "removed")
+    keyed = docs.select(whole(docs.columns), row_key(id_col, text_col).alias("row"))
+    joined = keyed.join(lost, "row", "left")
+    text = F.col(f"doc.`{text_col}`")
+    new = F.when(F.col("removed").isNull(), text).otherwise(cut(text, F.col("removed"))).alias(text_col)
+    own = [new if c == text_col else p for c, p in zip(docs.columns, parts(docs.columns), strict=True)]
+    return joined.select(*own, F.col("removed").alias(fresh(docs.columns, "removed")))

@@ -124,18 +124,35 @@ def test_targets_are_reshared_until_none_is_above():
     assert [t for _, _, t in mixing.source_targets([("a", 0), ("b", 0)])] == [0, 0]
 
 
+def _plain_pieces(text):
+    """(start, end, words) of sentences, long ones cut before the word of least hash in each ten."""
+    out, at = [], 0
+    for stop in [*(m.span() for m in re.finditer(r"(?<=[.!?])[\x20\x09-\x0D]+|\n", text)), (len(text), len(text))]:
+        words = [(at + m.start(), at + m.end(), m[0].lower()) for m in WORD.finditer(text[at : stop[0]])]
+        h = [xxhash.xxh64_intdigest(w) for _, _, w in words]
+        cuts = {0} | {min(range(k, k + 10), key=lambda j: (h[j], j)) for k in range(len(words) - 9)}
+        edges = [*sorted(cuts), len(words)]
+        out += [(words[a][0], words[b - 1][1], [w for _, _, w in words[a:b]]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+        at = stop[1]
+    return out
+
+
 def test_sentence_spans_match_a_plain_search(spark, sf_dir, docs):
     rows = {r.doc_id: r for r in sentence_spans.repeated_spans(table(spark, sf_dir, "documents")).collect()}
     seen, lost = {}, collections.defaultdict(set)
     for d in sorted(docs):
-        found = sentence_spans.sentences(docs[d]["text"] or "", 16)
-        for i in range(len(found) - 2):
-            words = [w for s in found[i : i + 3] for w in s[2]]
-            if len(words) < 10:
+        found = _plain_pieces(docs[d]["text"] or "")
+        for i in range(len(found)):
+            # Three pieces, more until there are ten words; a text of fewer pieces is one span.
+            end = min(i + 3, len(found)) if len(found) < 3 else i + 3
+            while end < len(found) and sum(len(s[2]) for s in found[i:end]) < 10:
+                end += 1
+            words = [w for s in found[i:end] for w in s[2]]
+            if end > len(found) or len(words) < 10 or (len(found) < 3 and i):
                 continue
-            key = "\n".join(" ".join(s[2]).lower() for s in found[i : i + 3])
+            key = " ".join(words)
             if key in seen:
-                lost[d].update(range(found[i][0], found[i + 2][1]))
+                lost[d].update(range(found[i][0], found[end - 1][1]))
             seen.setdefault(key, d)
     assert set(rows) == set(lost)
     for d, r in rows.items():
