@@ -217,22 +217,48 @@ def test_languages_are_told_apart_held_out(spark, sf_dir, docs):
     assert all(0 <= r.score <= 1 for r in rows) and len(rows) == len(docs)
 
 
-def test_ppm_codes_are_exact_probabilities(spark):
-    df = spark.createDataFrame([("aab abab", "x"), ("bba cde", "x"), ("zzz", "y")], "text string, lang string")
-    m = ppm.train(df)
-    # Over all next classes the probabilities of a seen context sum to no more than one, and to one with the escapes.
-    for lang in range(2):
-        for ctx in ([1, 2], [2, 2], [26, 26], [5, 9]):
-            base = (ctx[0] << 12) | (ctx[1] << 6)
-            total = sum(2.0 ** -float(m.low[base | c, lang]) for c in range(64))
-            assert 0.2 < total <= 1.0 + 1e-5
-    text = "abab zé" * 40
-    want = np.zeros(2)
-    fold = m.fold
-    for g in ppm.grams(text.encode(), fold).tolist():
-        hit = np.flatnonzero(m.known == g)
-        want += m.high[hit[0]] if len(hit) else m.escape[g >> 6] + m.low[g & 0x3FFFF]
-    assert m.cost(text.encode()) == pytest.approx(want, rel=1e-5)
+def _ppm_bits(texts, text):
+    """Bits of text by escape method C over orders 3 to 0, from counts of the texts; below order 0 a byte has 8 bits."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in texts:
+        data = bytes(3) + t.lower()
+        for at in range(3, len(data)):
+            for order in range(4):
+                seen[data[at - order : at]][data[at]] += 1
+    bits, data = 0.0, bytes(3) + text.lower()
+    for at in range(3, len(data)):
+        for order in (3, 2, 1, 0):
+            counts = seen.get(data[at - order : at])
+            if not counts:
+                continue
+            total, kinds = sum(counts.values()), len(counts)
+            if data[at] in counts:
+                bits -= math.log2(counts[data[at]] / (total + kinds))
+                break
+            bits -= math.log2(kinds / (total + kinds))
+        else:
+            bits += 8
+    return bits
+
+
+def test_ppm_costs_are_those_of_trees_counted_anew(spark):
+    rows = [("aab abab", "x"), ("Bba cde", "x"), ("zzz zé zé", "y"), ("abba ZZ", "y"), ("日本 語", "z"), (None, "z"), ("lost", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    of = {lang: [t.encode() for t, x in rows if x == lang and t] for lang in "xyz"}
+    tried = ["abab zé" * 40, "q", "日本 abc", "zz", "cdeé"]
+    docs = spark.createDataFrame(list(enumerate(tried)), "doc_id long, text string")
+    want = [{lang: _ppm_bits(t, text.encode()) for lang, t in of.items()} for text in tried]
+    for group in (8, 2, 1):
+        model = ppm.train(df, group=group)
+        assert [x for m in model for x in m["langs"]] == ["x", "y", "z"]
+        for text, bits in zip(tried, want, strict=True):
+            got = np.concatenate([ppm.coder(m)(text.encode()) for m in model])
+            assert got == pytest.approx([bits[x] for x in "xyz"], rel=1e-5)
+        for r in ppm.predict(docs, model).collect():
+            bits = want[r.doc_id]
+            best = min(sorted(bits), key=bits.get)
+            assert r.lang_pred == best
+            assert r.score == pytest.approx(1 / sum(2 ** (bits[best] - b) for b in bits.values()), rel=1e-3)
 
 
 def _components(fps, most=3):

@@ -73,7 +73,7 @@ def test_values_of_odd_rows(odd):
     assert near[1, 0] == near[2, 0] == near[6, 0] == 1
     lang = {r.doc_id: (r.lang_pred, r.score) for r in ppm.predict(odd, ppm.train(odd)).collect()}
     assert lang[1] == lang[2] == lang[5] == lang[6] == ("und", 0.0) and lang[3][0] == "en"
-    assert ppm.train(odd.limit(0)) is None
+    assert ppm.train(odd.limit(0)) == []
     score = {r.doc_id: r for r in hmm.score(odd, F.col("doc_id") % 2 == 0, settings=SMALL).collect()}
     assert score[1].n_tokens == score[2].n_tokens == score[6].n_tokens == 1 and score[7].n_tokens == 2
     assert all(r.score <= 0 and r.base_score <= 0 for r in score.values())
