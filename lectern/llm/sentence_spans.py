@@ -1,8 +1,8 @@
 """Substring dedup on sliding sentence spans.
 
 Every run of a few consecutive sentences is hashed. A span's first place is the smallest row that has it, and there its
-first occurrence; every sentence that lies in another occurrence goes. The first row comes from a grouped minimum,
-which combines before the shuffle, and the rows then join on the span.
+first occurrence; every sentence that lies in another occurrence goes. Spans are counted first; of those that rows share, the
+first row comes from a grouped minimum, which combines before the shuffle, and the rows then join on the span.
 """
 
 from __future__ import annotations
@@ -108,8 +108,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = slim.schema["id"].dataType.simpleString()
     rows = save(slim.mapInArrow(_span_rows(run, window, min_words), f"id {id_type}, row long, span long, check int, start int, end int, again boolean"), "spans")
     once = rows.where(~F.col("again"))
-    firsts = once.groupBy("span", "check").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    other = once.join(firsts, ["span", "check"]).where((F.col("row") != F.col("first.row")) | ~F.col("id").eqNullSafe(F.col("first.id")))
+    # Most spans occur once. A count of each tells, and moves eight bytes a span; only the others go further.
+    many = once.groupBy("span").agg(F.count("*").alias("n")).where("n > 1").select("span")
+    met = save(once.join(many, "span", "left_semi"), "met")
+    # Written, so that Spark knows its size and can split a span that very many rows have.
+    firsts = save(met.groupBy("span", "check").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    other = met.join(firsts, ["span", "check"]).where((F.col("row") != F.col("first.row")) | ~F.col("id").eqNullSafe(F.col("first.id")))
     lost = other.select("id", "row", "start", "end", F.col("first.id").alias("first_id")).unionByName(rows.where("again").select("id", "row", "start", "end", F.col("id").alias("first_id")))
     per_row = lost.groupBy("id", "row").agg(F.sort_array(F.collect_set("first_id")).alias("first_ids"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"))
     none = F.array().cast("array<struct<start:int,end:int>>")
