@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, save
+from .common import WORD, fresh, parts, save, whole
 
 #: Rows of one block, in expectation, and blocks combined into one at each level of the tree.
 BLOCK = 8192
@@ -159,16 +159,17 @@ def pivotal_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of docs that the mix takes, with ``size``, ``copies`` and ``taken``; rows with no copy are left out.
 
-    Rows that agree in id, source and size share their set of copies, dealt out in the order of their texts' hashes.
+    Rows that agree in id, source and size share their set of copies, dealt out in the order of their texts' hashes; null
+    ids and sources agree with each other. A null text has size 0. An empty table gives an empty result. If docs has
+    columns of the new names, those stay as they are and the new ones get an underscore.
     """
-    key = ["_id", "_source", "_size"]
-    copies = pivotal_copies(docs, id_col, text_col, source_col, **how).select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    taken = copies.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_all"))
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("copies", "taken", "size")]
-    sized = docs.select(*own, docs[id_col].alias("_id"), docs[source_col].cast("string").alias("_source"), text_size(docs[text_col]).alias("_size"), F.xxhash64(docs[text_col]).alias("_h"))
-    ranked = sized.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_h")) - 1).alias("a")
+    key = ["id", "source", "size"]
+    copies = pivotal_copies(docs, id_col, text_col, source_col, **how).select(F.col(f"`{id_col}`").alias("id"), "source", "size", "copies")
+    dealt = copies.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("all")).alias("b")
+    text = F.col(f"`{text_col}`")
+    sized = docs.select(whole(docs.columns), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), text_size(text).alias("size"), F.xxhash64(text).alias("h"))
+    ranked = sized.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("h")) - 1).alias("a")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
-    joined = ranked.join(taken.alias("b"), same[0] & same[1] & same[2])
-    own = [F.col(f"a.`{c}`") for c in docs.columns if c not in ("copies", "taken", "size")]
-    out = joined.select(*own, F.col("a._size").alias("size"), F.get("b._all", F.col("a._n")).alias("copies"))
-    return out.where("copies > 0").withColumn("taken", F.col("copies") * F.col("size"))
+    joined = ranked.join(dealt, same[0] & same[1] & same[2]).select("a.doc", "a.size", F.get("b.all", F.col("a.n")).alias("copies"))
+    new = {"size": F.col("size"), "copies": F.col("copies"), "taken": F.col("copies") * F.col("size")}
+    return joined.where("copies > 0").select(*parts(docs.columns), *(c.alias(fresh(docs.columns, name)) for name, c in new.items()))

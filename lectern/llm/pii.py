@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import parts, save, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive groups match what the plain ones do, since nothing that follows could take characters back, and Java
@@ -124,11 +124,13 @@ def _votes(kind: str, base: bool, hit: Column, before: Column, after: Column) ->
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs plus ``_c``: array<struct<kind int, start, end, base, the labelers' votes>> of each whole text.
+    """``doc`` (docs' columns as one struct, so that no name clashes) and ``_c``: array<struct<kind int, start, end, base,
+    the labelers' votes>> of each whole text.
 
     A null text counts as empty. Wide candidates that touch a base span of the same text are left out.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    docs = docs.select(whole(docs.columns))
+    text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
     def struct(kind: str, base: bool, m: Column, t: Column) -> Column:
@@ -238,19 +240,24 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Null ids and repeated rows keep their rows; a null or empty text has no span; an empty table gives an empty result.
     """
-    found = save(candidates(docs.select(id_col, text_col), text_col).select(id_col, "_c"), "pii")
-    return found.select(id_col, accepted(learn(found)).alias("spans"))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = save(candidates(own).select("doc.id", "_c"), "pii")
+    return found.select(F.col("id").alias(id_col), accepted(learn(found)).alias("spans"))
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every accepted span of the text replaced by its kind in brackets; of overlapping spans the first names both."""
+    """docs with every accepted span of the text replaced by its kind in brackets; of overlapping spans the first names both.
+
+    A null text stays null; repeated rows each keep their row; an empty table gives an empty result. Columns of any name
+    keep their values.
+    """
     # Candidates are found twice, which costs less than writing every text with them; learning reads a narrow table, since
     # Spark would push the explode's filter into the expressions that made them.
-    weights = learn(save(candidates(docs.select(text_col), text_col).select("_c"), "pii"))
+    weights = learn(save(candidates(docs.select(F.col(f"`{text_col}`").alias("text"))).select("_c"), "pii"))
     found = candidates(docs, text_col)
     spans = F.sort_array(F.transform(accepted(weights), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
     name = lambda k: F.get(F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS)), k)
-    text = F.col(f"`{text_col}`")
+    text = F.col(f"doc.`{text_col}`")
     # A span that starts inside the last one only moves its end.
     done = F.aggregate(
         spans,
@@ -261,5 +268,5 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ),
     )
     changed = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    own = [F.when(F.size("_c") > 0, changed).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*own)
+    new = F.when(F.size("_c") > 0, changed).otherwise(text).alias(text_col)
+    return found.select(*(new if c == text_col else p for c, p in zip(docs.columns, parts(docs.columns), strict=True)))

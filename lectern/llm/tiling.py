@@ -18,11 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import parts, save, whole
 
 _TOKEN = re.compile(r"[^\W_]+")
 _BASE = 0x9E3779B97F4A7C15
-#: The seed filter is sent to the tasks only up to so many distinct seeds (8 bytes each); beyond it every seed is joined.
+#: The seed filter is sent to the tasks only up to so many distinct seeds (8 bytes each), and the items' seeds only up to
+#: so many rows and places of them; beyond it Spark joins.
 MAX_FILTER = 1_000_000
 
 
@@ -120,7 +121,7 @@ def _tile_rows(width: int):
 
 
 def row_key(docs: DataFrame, id_col: str, text_col: str):
-    return F.xxhash64(docs[id_col], docs[text_col])
+    return F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text_col}`"])
 
 
 def contaminated(
@@ -138,6 +139,7 @@ def contaminated(
 
     row tells rows of the same id but different text apart. Tiles are at least min_match tokens long, so an item of
     fewer tokens never matches; null texts have no token. Equal items each report. Rows repeated in full report once.
+    Null ids are ids like others. An empty table on either side gives an empty result. Further columns are not read.
     """
     spark = docs.sparkSession
     shape = "n int, seed long, at array<int>"
@@ -150,8 +152,10 @@ def contaminated(
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(docs, id_col, text_col).alias("row"), F.col(f"`{text_col}`").alias("text"))
     doc_type = texts.schema["id"].dataType.simpleString()
     doc_seeds = save(texts.mapInArrow(_seed_rows(min_match, wanted), f"id {doc_type}, row long, {shape}"), "doc-seeds")
+    # Items that share text have few distinct seeds and many rows, so what is sent is counted by itself.
+    sent = item_seeds.agg(F.coalesce(F.sum(1 + F.size("at")), F.lit(0)).alias("n")).first()["n"]
     right = item_seeds.select("seed", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("n").alias("n_item_tokens"), F.col("at").alias("i"))
-    met = doc_seeds.select("id", "row", "seed", F.col("at").alias("d")).distinct().join(F.broadcast(right) if wanted is not None else right, "seed")
+    met = doc_seeds.select("id", "row", "seed", F.col("at").alias("d")).distinct().join(F.broadcast(right) if sent <= max_filter else right, "seed")
     # Fewer distinct windows than the coverage needs can not reach it.
     pairs = met.groupBy("id", "row", "item_id", "item_row", "n_item_tokens").agg(F.collect_list(F.struct("d", "i")).alias("pairs"))
     places = F.aggregate("pairs", F.lit(0), lambda a, p: a + F.size(p["i"]))
@@ -163,7 +167,11 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows that contain a benchmark item."""
-    bad = save(contaminated(docs, benchmark, id_col, text_col, **how).select(F.col(id_col).alias("_id"), F.col("row").alias("_row")).distinct(), "contaminated")
-    own = docs.select("*", row_key(docs, id_col, text_col).alias("_key"))
-    return own.join(bad, own[id_col].eqNullSafe(bad["_id"]) & (own["_key"] == bad["_row"]), "left_anti").drop("_key")
+    """docs without the rows that contain a benchmark item.
+
+    Rows of one id are judged by their own texts, null ids too; rows repeated in full go or stay together. Null and short
+    texts stay. Without items every row stays, and an empty table gives an empty result. Columns of any name stay.
+    """
+    bad = save(contaminated(docs, benchmark, id_col, text_col, **how).select(F.col(f"`{id_col}`").alias("id"), "row").distinct(), "contaminated")
+    own = docs.select(whole(docs.columns), row_key(docs, id_col, text_col).alias("key"))
+    return own.join(bad, F.col(f"doc.`{id_col}`").eqNullSafe(bad["id"]) & (own["key"] == bad["row"]), "left_anti").select(*parts(docs.columns))

@@ -102,3 +102,21 @@ def test_long_digit_and_symbol_runs_do_not_break_patterns(spark):
     texts = ["1 " * 20000, "7" * 50000, "a@" + "b." * 20000, "a." * 20000 + "@x.y", "+" + "1 " * 30000, "1." * 30000, "((at)" * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert pii.find(df).count() == len(texts)
+
+
+def test_columns_of_any_name_keep_their_values(spark, bench):
+    names = ("_key", "_row", "_id", "_c", "_text", "_email", "_w_phone", "_n", "_h", "_size", "_source", "_all", "id", "row", "key", "doc", "size", "copies", "taken", "contaminated")
+    rows = [(1, "write to ann@example.org soon", "en", "a", 29), (2, "a quick brown fox jumps over the lazy dog", "en", "b", 41), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).select("*", *(F.lit("own").alias(c) for c in names))
+    for got, ids in ((pii.masked(df), {1, 2, 3}), (tiling.decontaminate(df, bench), {1, 3}), (mixing.mixture(df), None)):
+        found = got.collect()
+        assert found and all(r[c] == "own" for r in found for c in names)
+        assert got.columns[: len(df.columns)] == df.columns and (ids is None or {r.doc_id for r in found} == ids)
+    assert mixing.mixture(df).columns[-3:] == ["size_", "copies_", "taken_"]
+
+
+def test_the_seed_broadcast_counts_what_is_sent(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "nothing of the kind is here today")], "doc_id long, text string")
+    items = spark.createDataFrame([(k, "one two three four five six") for k in range(40)], "item_id long, text string")
+    for most in (2, 79, 160, 1_000_000):
+        assert sorted(r.item_id for r in tiling.contaminated(docs, items, max_filter=most).collect()) == list(range(40))
