@@ -20,7 +20,7 @@ def accept(proposals: DataFrame, terms: DataFrame | None = None, key_of=lambda c
     term; then each such term is held against the text it stands for.
     """
     new = F.trim("candidate")
-    p = proposals.withColumn("_id", F.monotonically_increasing_id()).withColumn("_c", F.coalesce(new, F.lit("")))
+    p = proposals.withColumn("_c", F.coalesce(new, F.lit("")))
     size = (F.col("_c") != "") & (F.col("_c") != F.col("original")) & (T.squeeze(F.col("_c")) != T.squeeze(F.col("original")))
     size = size & (F.levenshtein("original", "_c") <= F.greatest(F.lit(2), F.floor(F.length("original") * change)))
     a, b = key_of(F.col("original")), key_of(F.col("_c"))
@@ -28,21 +28,22 @@ def accept(proposals: DataFrame, terms: DataFrame | None = None, key_of=lambda c
     plain = F.when((a == "") | (b == ""), True).otherwise(near)
     p = p.withColumn("_size", F.coalesce(size, F.lit(False))).withColumn("_plain", plain).withColumn("_silent", (a == "") | (b == ""))
     if terms is None:
-        return p.withColumn("accepted", F.col("_size") & F.col("_plain")).drop("_id", "_c", "_size", "_plain", "_silent")
+        return p.withColumn("accepted", F.col("_size") & F.col("_plain")).drop("_c", "_size", "_plain", "_silent")
 
     @F.pandas_udf("string")
     def stood(before: pd.Series, after: pd.Series, term: pd.Series) -> pd.Series:
         return pd.Series([C.replaced_by(x, y, t) for x, y, t in zip(before, after, term, strict=True)])
 
     few = small(terms.where("source <> ''").select(F.col("source").alias("_term")).distinct())
-    brought = p.where("_size AND NOT _silent").join(few, F.col("_c").contains(F.col("_term")) & ~F.col("original").contains(F.col("_term")))
+    # The verdict is of the two texts alone, so equal proposals share it.
+    brought = p.where("_size AND NOT _silent").select("original", "_c").distinct().join(few, F.col("_c").contains(F.col("_term")) & ~F.col("original").contains(F.col("_term")))
     brought = brought.withColumn("_was", stood("original", "_c", "_term"))
     x, y = key_of(F.col("_was")), key_of(F.col("_term"))
     far = F.levenshtein(x, y)
     alike = (x != "") & (y != "") & ((far <= 2) | (far / F.greatest(F.length(x), F.length(y)) <= term_moved))
-    judged = brought.groupBy("_id").agg(F.every(alike).alias("_alike"))
-    joined = p.join(judged, "_id", "left")
-    return joined.withColumn("accepted", F.col("_size") & F.when(F.col("_alike").isNull(), F.col("_plain")).otherwise(F.col("_alike"))).drop("_id", "_c", "_size", "_plain", "_silent", "_alike")
+    judged = brought.groupBy("original", "_c").agg(F.every(alike).alias("_alike"))
+    joined = p.join(judged, ["original", "_c"], "left")
+    return joined.withColumn("accepted", F.col("_size") & F.when(F.col("_alike").isNull(), F.col("_plain")).otherwise(F.col("_alike"))).drop("_c", "_size", "_plain", "_silent", "_alike")
 
 
 def numbered_rows(replies: DataFrame) -> DataFrame:

@@ -138,14 +138,16 @@ def score_changes(pairs: DataFrame, vocabulary: DataFrame, established: int = 3,
 def score_guards(judged: DataFrame, vocabulary: DataFrame, lines: DataFrame, established: int = 3, letters: str = "[一-鿿]", script: tuple[str, str] = ("", "")) -> DataFrame:
     """One row: proposals, accepted, rejected, suspect, displaces. judged: before, after, accepted; lines: the corpus (text)."""
     totals = judged.agg(F.count("*").alias("proposals"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
-    good = judged.where("accepted").withColumn("_id", F.monotonically_increasing_id())
-    words = good.select("_id", F.explode(diff_terms(F.col("before"), F.col("after"), letters, script)).alias("d")).select("_id", F.col("d.wrong").alias("was"), F.col("d.right").alias("now"))
-    suspect = words.join(vocabulary.select(F.col("gram").alias("was"), "n"), "was").where(F.col("n") >= established).agg(F.count("*").alias("suspect"))
+    good = judged.where("accepted").groupBy("before", "after").agg(F.count("*").alias("_times"))
+    words = good.select("before", "after", "_times", F.explode(diff_terms(F.col("before"), F.col("after"), letters, script)).alias("d"))
+    words = words.select("before", "after", "_times", F.col("d.wrong").alias("was"), F.col("d.right").alias("now"))
+    suspect = words.join(vocabulary.select(F.col("gram").alias("was"), "n"), "was").where(F.col("n") >= established).agg(F.coalesce(F.sum("_times"), F.lit(0)).alias("suspect"))
     asked = small(words.select(F.explode(F.array("was", "now")).alias("word")).distinct())
     said = lines.join(asked, F.col("text").contains(F.col("word"))).groupBy("word").agg(F.sum((F.length("text") - F.length(F.replace("text", F.col("word")))) / F.length("word")).alias("k"))
     both = words.join(said.select(F.col("word").alias("was"), F.col("k").alias("a")), "was", "left").join(said.select(F.col("word").alias("now"), F.col("k").alias("b")), "now", "left")
     hit = both.where((F.coalesce("a", F.lit(0.0)) >= established) & (F.coalesce("a", F.lit(0.0)) > F.coalesce("b", F.lit(0.0))))
-    return totals.join(suspect).join(hit.agg(F.countDistinct("_id").alias("displaces")))
+    displaced = hit.select("before", "after", "_times").distinct().agg(F.coalesce(F.sum("_times"), F.lit(0)).alias("displaces"))
+    return totals.join(suspect).join(displaced)
 
 
 def edit_correction(corrections: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:

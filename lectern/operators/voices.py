@@ -21,29 +21,41 @@ def _unit(rows: list) -> np.ndarray:
 
 
 def complete_linkage(vectors: list, threshold: float) -> list[int]:
-    """Group numbers: the two groups whose worst pair is best merge, while that pair clears the threshold.
+    """Group numbers: groups merge while their worst pair clears the threshold; a group goes by its smallest member.
 
-    Of equal pairs the one of the smallest members merges first; a group goes by its smallest member.
+    By chains of nearest neighbours: each member of a chain is the nearest group to the one before it, and two that are
+    each other's nearest merge. No merge brings groups nearer, so this gives the groups that merging the best pair of all
+    gives, in time quadratic in the vectors. Of equally near groups the last of the chain counts, then the smallest.
     """
-    u = _unit(vectors)
-    worst = u @ u.T
+    u = _unit(vectors) if vectors else np.empty((0, 1))
     n = len(vectors)
+    worst = u @ u.T
+    worst = np.where(np.isnan(worst), -np.inf, np.minimum(worst, worst.T))
     np.fill_diagonal(worst, -np.inf)
-    alive, label = np.ones(n, bool), list(range(n))
-    best = worst.max(axis=1) if n > 1 else np.full(n, -np.inf)
-    while True:
-        a = int(best.argmax())
-        if not np.isfinite(best[a]) or best[a] < threshold:
-            return label
-        b = int(worst[a].argmax())
-        a, b = min(a, b), max(a, b)
-        label = [a if x == b else x for x in label]
-        merged = np.minimum(worst[a], worst[b])
-        merged[[a, b]] = -np.inf
-        worst[a], worst[:, a] = merged, merged
-        worst[b], worst[:, b] = -np.inf, -np.inf
-        alive[b] = False
-        best = worst.max(axis=1)
+    label, chain = np.arange(n), []
+    ended = np.zeros(n, bool)
+    for start in range(n):
+        if not ended[start]:
+            chain.append(start)
+        while chain:
+            tip = chain[-1]
+            near = int(worst[tip].argmax())
+            if worst[tip, near] < threshold:
+                ended[chain.pop()] = True
+            elif len(chain) > 1 and worst[tip, chain[-2]] >= worst[tip, near]:
+                low, high = sorted((chain.pop(), chain.pop()))
+                both = np.minimum(worst[low], worst[high])
+                both[[low, high]] = -np.inf
+                worst[low] = worst[:, low] = both
+                worst[high] = worst[:, high] = -np.inf
+                label[label == high] = low
+                ended[high] = True
+                # The merged group may have partners left.
+                if not chain:
+                    chain.append(low)
+            else:
+                chain.append(near)
+    return label.tolist()
 
 
 def cluster_voices(vectors: DataFrame, threshold: float = 0.65) -> DataFrame:

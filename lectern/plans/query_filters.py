@@ -94,10 +94,10 @@ def flt11(scored):
 
 
 @query("flt12_mostly_glossary", """
-    SELECT line_id, len(w) > 0 AND len(replace(replace(replace(w, 'the', ''), 'tion', ''), 'and', '')) * 3 < len(w) AS mostly
-    FROM (SELECT line_id, lower(replace(substr(source, 1, 9), ' ', '')) AS w FROM lines) x""")
+    SELECT line_id, len(w) > 0 AND len(replace(replace(replace(replace(replace(replace(replace(w, 'the', ''), 'tion', ''), 'e', ''), 'a', ''), 'o', ''), 'n', ''), 's', '')) * 3 < len(w) AS mostly
+    FROM (SELECT line_id, lower(replace(source, ' ', '')) AS w FROM lines) x""")
 def flt12(lines):
-    return lines.select("line_id", O.mostly_glossary(F.lower(F.substring("source", 1, 9)), F.array(F.lit("the"), F.lit("tion"), F.lit("and"))).alias("mostly"))
+    return lines.select("line_id", O.mostly_glossary(F.lower("source"), F.array(*map(F.lit, ("the", "tion", "e", "a", "o", "n", "s")))).alias("mostly"))
 
 
 @query("flt13_iso_date", """

@@ -8,16 +8,17 @@ from ..functions import text as T
 from .registry import query
 
 
-@query("sca1_edit_distance", "SELECT line_id, levenshtein(regexp_replace(substr(source, 1, 30), '[^ -~]', '', 'g'), regexp_replace(substr(source, 11, 30), '[^ -~]', '', 'g')) AS distance FROM lines")
+@query("sca1_edit_distance", "SELECT line_id, levenshtein(p, replace(replace(p, 'th', 'd'), 'e', '')) AS distance FROM (SELECT line_id, regexp_replace(source, '[^ -~]', '', 'g') AS p FROM lines) x")
 def sca1(lines):
-    plain = lambda a: F.regexp_replace(F.substring("source", a, 30), "[^ -~]", "")
-    return lines.select("line_id", T.edit_distance(plain(1), plain(11)).cast("long").alias("distance"))
+    plain = F.regexp_replace("source", "[^ -~]", "")
+    heard = F.replace(F.replace(plain, F.lit("th"), F.lit("d")), F.lit("e"))
+    return lines.select("line_id", T.edit_distance(plain, heard).cast("long").alias("distance"))
 
 
-@query("sca2_sound_key", "SELECT line_id, replace(replace(lower(substr(source, 1, 40)), 'c', 'k'), 'z', 's') AS key FROM lines")
+@query("sca2_sound_key", "SELECT line_id, replace(replace(lower(source), 'c', 'k'), 'z', 's') AS key FROM lines")
 def sca2(lines):
     readings = F.create_map(*(F.lit(x) for x in ("c", "k", "z", "s")))
-    return lines.select("line_id", T.sound_key(F.lower(F.substring("source", 1, 40)), readings).alias("key"))
+    return lines.select("line_id", T.sound_key(F.lower("source"), readings).alias("key"))
 
 
 @query("sca3_normalize", "SELECT line_id, regexp_replace(source, '[\\s，。、！？：；「」『』（）,.!?:;\"''()\\-—…]+', '', 'g') AS text FROM lines")
@@ -75,15 +76,14 @@ def sca11(events):
 
 @query("sca12_mostly_han", """
     SELECT line_id, len(regexp_replace(t, '[^一-鿿]', '', 'g')) * 2 >= len(regexp_replace(t, '[\\s，。、！？：；「」『』（）,.!?:;\"''()\\-—…]+', '', 'g')) AS han
-    FROM (SELECT line_id, translate(substr(source, 1, 20), 'etaon', '字單管料號') AS t FROM lines) x""")
+    FROM (SELECT line_id, translate(source, 'etaon', '字單管料號') AS t FROM lines) x""")
 def sca12(lines):
-    return lines.select("line_id", T.mostly_han(F.translate(F.substring("source", 1, 20), "etaon", "字單管料號")).alias("han"))
+    return lines.select("line_id", T.mostly_han(F.translate("source", "etaon", "字單管料號")).alias("han"))
 
 
-@query("sca14_strip_think", "SELECT line_id, substr(source, 1, 10) AS text FROM (SELECT line_id, trim(substr(trim(source), 1, 10)) AS source FROM lines) x")
+@query("sca14_strip_think", "SELECT line_id, trim(source) AS text FROM lines")
 def sca14(lines):
-    head = F.trim(F.substring(F.trim("source"), 1, 10))
-    return lines.select("line_id", T.strip_think(F.concat(F.lit("<think>why\nnot</think>"), head)).alias("text"))
+    return lines.select("line_id", T.strip_think(F.concat(F.lit("<think>why\nnot</think>"), "source")).alias("text"))
 
 
 @query("sca15_first_json", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props END AS found FROM events")

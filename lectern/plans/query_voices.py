@@ -13,7 +13,7 @@ from .registry import query
 
 @query("vox1_cluster_voices")
 def vox1(voiceprints):
-    return O.cluster_voices(voiceprints.select((F.col("session_id") % 4).alias("session_id"), F.col("vec_id").alias("item"), "centroid"), 0.25)
+    return O.cluster_voices(voiceprints.select(F.floor(F.col("vec_id") / 50).alias("session_id"), F.col("vec_id").alias("item"), "centroid"), 0.25)
 
 
 @query("vox2_regroup_labels")

@@ -199,3 +199,32 @@ def test_search_needs_keywords(spark):
 def test_noise_and_repetition(spark, text, noise, broken):
     r = spark.createDataFrame([(text,)], "t string").select(filters.is_noise(F.col("t")).alias("n"), filters.is_degenerate(F.col("t")).alias("d")).first()
     assert (r.n, r.d) == (noise, broken)
+
+
+def test_chains_give_the_groups_that_merging_the_best_pair_gives():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40, 90):
+        vectors = rng.normal(size=(n, 5))
+        u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        groups = [[k] for k in range(n)]
+        while len(groups) > 1:
+            score, i, j = max((min(u[x] @ u[y] for x in groups[i] for y in groups[j]), i, j) for i in range(len(groups)) for j in range(i))
+            if score < 0.4:
+                break
+            groups[j] = sorted(groups[j] + groups.pop(i))
+        assert voices.complete_linkage(vectors.tolist(), 0.4) == [min(g) for k in range(n) for g in groups if k in g]
+    assert voices.complete_linkage([], 0.5) == [] and voices.complete_linkage([[1.0], [float("nan")], [2.0]], 0.5) == [0, 1, 0]
+
+
+def test_short_changes_take_letters_of_their_word():
+    assert C.changed_terms("用生館做", "用生管做") == [("館做", "管做")]
+    assert C.changed_terms("問生館", "問生管") == [("生館", "生管")]
+    assert C.changed_terms("a 館 b", "a 管 b") == []
+
+
+def test_equal_proposals_count_each(spark):
+    judged = spark.createDataFrame([("公單的管理", "工單的管理", True)] * 2 + [("x", "y", False)], "before string, after string, accepted boolean")
+    vocabulary = spark.createDataFrame([("公單", 5)], "gram string, n long")
+    lines = spark.createDataFrame([("公單公單公單",)], "text string")
+    r = correct.score_guards(judged, vocabulary, lines).first()
+    assert (r.proposals, r.accepted, r.rejected, r.suspect, r.displaces) == (3, 2, 1, 2, 2)
