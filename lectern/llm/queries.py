@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, hmm, mixing, pii, ppm, sentence_spans, simhash, tiling, warc, weak_labels
+from . import decision_list, hmm, mixing, packing, pii, ppm, resampling, sentence_spans, simhash, tiling, warc, weak_labels
 from .common import save, table
 
 
@@ -70,6 +70,16 @@ def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_hmm": op1_hmm,
     "op3_pivotal_mixing": op3_pivotal_mixing,
@@ -81,6 +91,8 @@ QUERIES = {
     "op9_weak_labels": op9_weak_labels,
     "op10_pii_votes": op10_pii_votes,
     "op8_decision_list": op8_decision_list,
+    "op12_packing": op12_packing,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
