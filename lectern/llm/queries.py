@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, hmm, mixing, packing, pii, ppm, resampling, sentence_spans, simhash, tiling, warc, weak_labels
+from . import decision_list, hmm, mixing, packing, pii, ppm, prefix_trie, resampling, sentence_spans, simhash, tiling, warc, weak_labels
 from .common import save, table
 
 
@@ -70,6 +70,10 @@ def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,6 +95,7 @@ QUERIES = {
     "op9_weak_labels": op9_weak_labels,
     "op10_pii_votes": op10_pii_votes,
     "op8_decision_list": op8_decision_list,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_packing": op12_packing,
     "op13_resampling": op13_resampling,
 }
@@ -104,4 +109,22 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f""",
+    # crc32 by the table of its 256 remainders; a node is a list of turns.
+    "op11_prefix_trie": """
+        WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) AS r(i))),
+        own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+                FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        cut AS (SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+                       lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 6 AS h FROM own, tab),
+        made AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+                 FROM cut AS c LEFT JOIN own AS b ON b.conv_id = c.conv_id - c.conv_id % 100),
+        member AS (SELECT conv_id, turns, d, turns[1:d] AS node FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM made)),
+        nodes AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = d), '') AS ends
+                  FROM member GROUP BY node, d),
+        kids AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+        worth AS (SELECT x.*, coalesce(k.n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(x.node[d].t) END AS saved FROM nodes AS x LEFT JOIN kids AS k ON k.node = x.node),
+        sums AS (SELECT node[1:e] AS node, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(d + 1)) AS e FROM worth) GROUP BY 1)
+        SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+        FROM worth AS w JOIN sums AS s ON s.node = w.node LEFT JOIN nodes AS p ON w.d > 0 AND p.node = w.node[1:w.d - 1]""",
 }
