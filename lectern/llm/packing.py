@@ -9,7 +9,10 @@ the packing is the one that all pieces together have, however many there are.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +26,9 @@ from .common import save
 
 CAPACITY = 4096
 #: Token ids of pieces of text between blanks that a task remembers, and the longest such piece, in bytes.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 1 << 20, 64
+#: Bytes of text that a task encodes at once, but for a longer text.
+AT_ONCE = 1 << 24
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -94,41 +99,142 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return found[np.lexsort((found[:, 1], found[:, 0]))], opened
 
 
-class _Encoder(dict):
-    """Token ids, as bytes, of pieces of text between ASCII blanks; the tokenizer never joins what a blank parts."""
+#: The pre-tokenizer that never joins what a blank parts, and ends a token at the border of letters and marks (fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks, a word of letters, marks; a mark before a word is no apostrophe.
+_WORD = re.compile(rb"([!-&(-/:-@[-`{-~]*)([A-Za-z\x80-\xff]+)([!-/:-@[-`{-~]*)")
+_JOINED = 2000
+BLANKS = re.compile(r"\s")
+
+
+class Whole:
+    """Token ids, as bytes, of whole texts: for any tokenizer."""
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
 
-    def learn(self, pieces: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        self.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(pieces, got, strict=True))
+    def encode(self, raws: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in raws], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+
+class Words(Whole):
+    """The same for a tokenizer that works within words: what stands between ASCII blanks is encoded once and remembered.
+
+    New words go through the tokenizer many at a time with blanks between; each ends with a token that ends a word.
+    """
+
+    def __init__(self, tokenizer, special: list[str]) -> None:
+        super().__init__(tokenizer)
+        self.known: dict[bytes, bytes] = {}
+        self.special = re.compile(b"|".join(re.escape(x.encode()) for x in special) or b"(?!)")
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of letters below U+0300, which no normal form changes: one each for the tokenizer."""
+        groups = [words[k : k + _JOINED] for k in range(0, len(words), _JOINED)]
+        for own, ids in zip(groups, super().encode([b" ".join(g) for g in groups]), strict=True):
+            stops = 4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)
+            if len(stops) != len(own) or stops[-1] != len(ids):
+                raise ValueError("a word of the tokenizer does not end where it should")
+            starts = [0, *stops[:-1].tolist()]
+            self.known.update((w, ids[a:b]) for w, a, b in zip(own, starts, stops.tolist(), strict=True))
 
-    def encode(self, raw: bytes) -> bytes:
-        pieces = raw.split()
-        new = [p for p in set(pieces) if p not in self]
-        if new:
-            self.learn(new)
-        out = b"".join(map(self.__getitem__, pieces))
+    def _meet(self, new: list[bytes]) -> None:
+        known, whole, parted, words = self.known, set(), [], set()
+        match, special = _WORD.fullmatch, self.special.search
         for p in new:
-            if len(p) > LONGEST:
-                del self[p]
-        if len(self) > REMEMBERED:
-            self.clear()
+            m = match(p)
+            if not m or special(p):
+                whole.add(p)
+                continue
+            before, word, after = m.groups()
+            if word.isascii():
+                word = word.lower()
+            elif not _plain(word):
+                whole.add(p)
+                continue
+            if word not in known:
+                words.add(word)
+            if before and before not in known:
+                whole.add(before)
+            if after and after not in known:
+                whole.add(after)
+            if word != p:
+                parted += (p, before, word, after)
+        self._learn(list(words))
+        rest = list(whole)
+        known.update(zip(rest, super().encode(rest), strict=True))
+        known[b""] = b""
+        each = iter(parted)
+        for p, before, word, after in zip(each, each, each, each, strict=True):
+            known[p] = known[before] + known[word] + known[after]
+
+    def encode(self, raws: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(raws), 256):
+            pieces = [r.split() for r in raws[at : at + 256]]
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            new = set().union(*pieces).difference(self.known)
+            self._meet(list(new))
+            out += [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+            for p in new:
+                if len(p) > LONGEST:
+                    del self.known[p]
         return out
 
 
+def _plain(word: bytes) -> bool:
+    """Letters only, all below U+0300; the dotted capital I becomes two characters in lower case."""
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and max(text) < "\u0300" and "\u0130" not in text
+
+
+def encoder(definition: str) -> Whole:
+    """What encodes with the tokenizer of this definition."""
+    from tokenizers import Tokenizer
+
+    d = json.loads(definition)
+    steps = [(x["type"], x.get("pattern", {}).get("Regex")) for x in (d["normalizer"] or {}).get("normalizers", [])]
+    split = ((d["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    within = steps == [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)] and split.get("pattern") == {"Regex": SPLIT} and split.get("behavior") == "Removed" and d["model"].get("end_of_word_suffix") == "</w>"
+    special = [x["content"] for x in d["added_tokens"]]
+    within &= not any(BLANKS.search(x) for x in special)
+    return Words(Tokenizer.from_str(definition), special) if within else Whole(Tokenizer.from_str(definition))
+
+
+def worker_encoder(definition: str) -> Whole:
+    """The encoder of this Python worker: Spark reuses workers, so a task finds the words that tasks before it met."""
+    held = sys.__dict__.setdefault("_lectern_encoder", {})
+    if definition not in held:
+        held.clear()
+        held[definition] = encoder(definition)
+    return held[definition]
+
+
+def _bounded(own_encoder: Whole, raws: Iterator[bytes], end: bytes) -> Iterator[bytes]:
+    held, size = [], 0
+    for raw in raws:
+        held.append(raw)
+        size += len(raw)
+        if size >= AT_ONCE:
+            yield from (x + end for x in own_encoder.encode(held))
+            held, size = [], 0
+    yield from (x + end for x in own_encoder.encode(held))
+
+
 def _pieces(tokenizer, capacity: int, end_id: int, keep_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encoder, end = _Encoder(Tokenizer.from_str(tokenizer.value)), np.array([end_id], "<u4").tobytes()
+        own_encoder, end = worker_encoder(tokenizer.value), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             pick, cols, ids = [], [[] for _ in range(4)], []
-            for k, text in enumerate(b.column(1)):
-                data = (encoder.encode(text.as_buffer().to_pybytes()) if text.is_valid else b"") + end
+            raws = (text.as_buffer().to_pybytes() if text.is_valid else b"" for text in b.column(1))
+            for k, data in enumerate(_bounded(own_encoder, raws, end)):
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     own = data[at : at + 4 * capacity]
                     pick.append(k)

@@ -239,3 +239,15 @@ def test_ranks_with_ties_repeats_and_odd_rows(spark, odd, segment_rows, monkeypa
     assert nodes(got) == plain_resampled(ODD + more, ["one two three four", None], 60)
     assert [resampling.resample(x, target).count() for x in (odd, odd.limit(0))] == [len(ODD), 0]
     assert resampling.resample(df, target.limit(0), percent=0).where("rank IS NOT NULL").count() == 0
+
+
+def test_words_encode_as_whole_texts_do(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5000)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        own = packing.encoder(f.read())
+    draw, letters = random.Random(2), "abzABZéÉüßİıſ'’\"-.,!?#$%<|>()12٣日本語ا́  \u0085\x1c\t \n\x0bǅªⅣ²_Å"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))).encode() for _ in range(20000)]
+    texts += [b"it's don't 'tis 'twas <|endoftext|> a<|endoftext|>b \"<|startoftext|>\"", b"I'M we'Re 'S 's's"]
+    assert type(own) is packing.Words and own.encode(texts) == packing.Whole(own.tokenizer).encode(texts)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        assert type(packing.encoder(f.read())) is packing.Whole
