@@ -3,7 +3,9 @@
 Every document of a source has the same wanted number of copies, target / source size: a whole part and a fraction.
 The fractions are rounded in pairs: mass moves between two documents, weighted by their sizes so that the expected
 words stay the same, until one of the two is whole. What is left of a block of documents is at most one fraction;
-blocks are combined in a tree, so no task sees more than one block's rows, however large the source.
+blocks are combined in a tree, so no task sees more than one block's rows, however large the source. The last fraction of a
+source may belong to a large document; what rounding it leaves of the target is then made up by whole copies of documents
+that are not longer than what is missing, until none is left that short.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, parts, save, whole
+from .common import WORD, drop_saved, fresh, parts, save, whole
 
 #: Rows of one block, in expectation, and blocks combined into one at each level of the tree.
 BLOCK = 8192
+#: Shares of what a source misses that its short documents are drawn in, and how many of these shares are looked at.
+SHARES, LOOKED_AT = 64, 256
 
 
 def text_size(text: Column) -> Column:
@@ -136,7 +140,7 @@ def pivotal_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled, blocks, depth = [], max([1, *(-(-n // BLOCK) for n in counts.values())]), 0
     while True:
         ordered = level.repartition("source", "at").sortWithinPartitions("source", "at", F.desc("size"), "row")
-        # Large documents first, so that the fraction that is left belongs to a small one.
+        # Large documents first, so that the fraction that is left more often belongs to a small one.
         shaped = ordered.select("source", "at", "row", "size", "whole", "part", *extra)
         schema = shaped.schema
         done = save(shaped.mapInArrow(_round_blocks(seed * 131 + depth), schema), f"mix-{depth}")
@@ -153,7 +157,49 @@ def pivotal_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = whole
     for x in settled:
         out = out.unionByName(x)
-    return out.withColumnRenamed("id", id_col)
+    return _made_up(save(out, "mix"), cap, seed).withColumnRenamed("id", id_col)
+
+
+def _made_up(out: DataFrame, cap: float, seed: int) -> DataFrame:
+    """out with the words that a source's copies miss of its target, or have over it, made up by one copy more or less of
+    documents that are not longer.
+
+    Each round deals a source's documents into shares of a SHARES-th of what is missing and takes the largest shares that
+    fit, so what is missing shrinks many times over. It ends when no document with room is short enough.
+    """
+    spark, idle = out.sparkSession, 0
+    by = out.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("n")).collect()
+    missing = {r["source"]: r["t"] - r["n"] for r in by}
+    row = F.xxhash64(F.col("o.id"), F.col("o.size"))
+    while idle < 3:
+        seed += 1
+
+        def dealt(shares: dict[str | None, int], taken: dict[str | None, list[int]], now: DataFrame = out, draw: int = seed) -> DataFrame:
+            plan = [(s, 1 if v > 0 else -1, abs(v), shares.get(s, 1), taken.get(s, [])) for s, v in missing.items()]
+            p = F.broadcast(spark.createDataFrame(plan, "source string, more long, words double, shares long, taken array<long>"))
+            both = now.alias("o").join(p.alias("p"), F.col("o.source").eqNullSafe(F.col("p.source")))
+            fits = (F.col("size") > 0) & (F.col("size") <= F.col("words")) & (F.col("copies") + F.col("more")).between(0, int(cap))
+            return both.select("o.*", "more", "taken", fits.alias("fits"), F.pmod(F.xxhash64(row, F.lit(draw)), F.col("shares")).alias("share"))
+
+        held = {r["source"]: r["n"] for r in dealt({}, {}).where("fits").groupBy("source").agg(F.sum("size").alias("n")).collect()}
+        if not held:
+            break
+        shares = {s: max(1, int(SHARES * n / abs(missing[s]))) for s, n in held.items()}
+        found = dealt(shares, {}).where(F.col("fits") & (F.col("share") < LOOKED_AT)).groupBy("source", "share").agg(F.sum("size").alias("n")).collect()
+        before, taken = dict(missing), {}
+        for r in sorted(found, key=lambda r: (-r["n"], r["share"])):
+            s = r["source"]
+            if r["n"] <= abs(missing[s]):
+                missing[s] -= r["n"] if before[s] > 0 else -r["n"]
+                taken.setdefault(s, []).append(r["share"])
+        idle = 0 if taken else idle + 1
+        if taken:
+            after, missing = missing, before
+            more = F.when(F.col("fits") & F.array_contains("taken", F.col("share")), F.col("more")).otherwise(0)
+            made = save(dealt(shares, taken).withColumn("copies", F.col("copies") + more).select(*out.columns), "mix")
+            drop_saved(out)
+            out, missing = made, after
+    return out
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:

@@ -8,7 +8,6 @@ first row comes from a grouped minimum, which combines before the shuffle, and t
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,8 @@ def pieces(text: str, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.
     if not n:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64), np.zeros(1, np.int64))
     starts, ends = np.array(spans, np.int64).T
-    h = np.fromiter(map(xxhash.xxh64_intdigest, text.lower().split() if text.isascii() else [text[a:b].lower() for a, b in spans]), np.uint64, n)
+    # bytes.split() cuts at the same six blanks; str.split() cuts at more.
+    h = np.fromiter(map(xxhash.xxh64_intdigest, text.lower().encode("utf-8", "surrogatepass").split()), np.uint64, n)
     stops = np.fromiter((m.start() for m in _CUT.finditer(text)), np.int64)
     # The sentence of a word: how many stops lie before it.
     sentence = np.searchsorted(stops, starts, side="right")
@@ -49,44 +49,67 @@ def pieces(text: str, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, h, np.append(new, n)
 
 
-def span_hashes(text: str, run: int, min_words: int, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(hash, check, start, end) of every run of ``run`` pieces, each made longer until it has min_words words.
+#: Odd bases of two polynomials modulo 2**64 and their inverses: a run's hash is a difference of two prefix sums.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Bits spread over the whole number."""
+    for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(times)
+    return h ^ (h >> np.uint64(33))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def run_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of words first:end, from prefix sums over all words; equal runs have equal ones."""
+    out = []
+    for k, (base, inverse) in enumerate(zip(_BASES, _INVERSES, strict=True)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_mixed(h) if k else h) * _powers(base, len(h)))])
+        run = (sums[end] - sums[first]) * _powers(inverse, len(h) + 1)[first]
+        out.append(_mixed(run + (end - first).astype(np.uint64)))
+    return out[0], out[1] >> np.uint64(32)
+
+
+def span_hashes(text: str, run: int, min_words: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, check, start, end, again) of every run of ``run`` pieces, each made longer until it has min_words words; again
+    tells that the text had the same run before.
 
     A text of fewer pieces is one span as a whole, if it has the words.
     """
     starts, ends, h, cut = pieces(text, window)
     n = len(cut) - 1
     if len(h) < min_words or not n:
-        return []
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 2, np.empty(0, bool)
     last = np.maximum(np.arange(n) + run, np.searchsorted(cut, cut[:-1] + min_words))
     if n < run:
         last = np.full(1, n)
-    data, out = h.tobytes(), []
-    for i, e in enumerate(last[last <= n].tolist()):
-        a, b = int(cut[i]), int(cut[e])
-        key = data[8 * a : 8 * b]
-        out.append((xxhash.xxh64_intdigest(key), zlib.crc32(key), int(starts[a]), int(ends[b - 1])))
-    return out
+    last = last[last <= n]
+    first, end = cut[: len(last)], cut[last]
+    span, check = run_hashes(h, first, end)
+    order = np.lexsort((np.arange(len(span)), check, span))
+    again = np.zeros(len(span), bool)
+    again[order[1:]] = (span[order[1:]] == span[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+    return span, check, starts[first], ends[end - 1], again
 
 
 def _span_rows(run: int, window: int, min_words: int):
+    types = np.int64, np.int32, np.int32, np.int32, bool
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pick, cols = [], [[] for _ in range(5)]
-            for k, text in enumerate(b.column(2)):
-                seen: set[tuple[int, int]] = set()
-                found = span_hashes(text.as_py() or "", run, min_words, window)
-                pick += [k] * len(found)
-                for h, check, start, end in found:
-                    for c, v in zip(cols, (h, check, start, end, (h, check) in seen), strict=True):
-                        c.append(v)
-                    seen.add((h, check))
-            chosen = pa.array(pick, pa.int32())
-            signed = [pa.array(np.array(cols[0], np.uint64).view(np.int64)), pa.array(np.array(cols[1], np.uint32).view(np.int32))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(chosen), b.column(1).take(chosen), *signed, pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.bool_())],
-                ["id", "row", "span", "check", "start", "end", "again"],
-            )
+            found = [span_hashes(text.as_py() or "", run, min_words, window) for text in b.column(2)]
+            pick = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+            # Unsigned numbers keep their bits.
+            cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0)] * 5
+            cols = [c.view(np.int64) if c.dtype == np.uint64 else c for c in cols]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), *(pa.array(c.astype(t)) for c, t in zip(cols, types, strict=True))], ["id", "row", "span", "check", "start", "end", "again"])
 
     return rows
 

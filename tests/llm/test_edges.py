@@ -81,6 +81,22 @@ def test_values_of_odd_rows(odd):
     assert (size[1], size[2], size[3], size[7]) == (0, 0, 32000, 1)
 
 
+def test_control_characters_are_no_blanks_unless_ascii_blanks(spark, labels, bench):
+    """\x1c to \x1f, \x85, \x00 and U+2028 are parts of words everywhere."""
+    marks = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\x00", "\u2028"]
+    shared = "One two\x1cthree four. Five six\x85seven eight. Nine\x1f ten eleven \x1d twelve. More words\u2028here to end it."
+    rows = [(k, m) for k, m in enumerate(marks)] + [(10, f"a {marks[0]} b"), (11, "two\x1cthree"), (12, f"Lead\x1e in. {shared}"), (13, f"Another. {shared}")]
+    df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], SCHEMA)
+    lost = {r.doc_id: [(x.start, x.end) for x in r.removed] for r in sentence_spans.repeated_spans(df).collect()}
+    assert lost == {13: [(9, 9 + len(shared))]}
+    n = df.count()
+    for got in (hmm.score(df, F.col("doc_id") % 2 == 0, settings=SMALL), ppm.predict(df, ppm.train(df)), simhash.near_duplicates(df), weak_labels.classify(df), pii.find(df), sentence_spans.without_repeats(df)):
+        assert got.count() == n
+    assert {r.doc_id: r["size"] for r in mixing.pivotal_copies(df).collect()} == {k: len(t.encode().split()) for k, t in rows}
+    assert {r["doc_id"]: r.n_words for r in decision_list.statistics(df, keep=["doc_id"]).select("doc.doc_id", "n_words").collect()} == {k: len(t.encode().split()) for k, t in rows}
+    assert tiling.contaminated(df, bench).count() == 0
+
+
 def test_warc_of_odd_pages(spark):
     big = "y" * 200
     rows = [(1, "http://a.com/x", None, 0), (2, "http://a.com/x", "", 0), (3, None, big, 0), (4, "http://b.com/\r\nX: y", big, 0), (None, "http://a.com", big, 0), (5, "not a url ]", "small", 0), (6, "x", "small", 0), (7, "http://a.com/x", "WARC/1.1\r\n\r\n\r\nContent-Length: 9\r\n\r\n" * 9, 0)]
