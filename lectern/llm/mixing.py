@@ -5,7 +5,7 @@ The fractions are rounded in pairs: mass moves between two documents, weighted b
 words stay the same, until one of the two is whole. What is left of a block of documents is at most one fraction;
 blocks are combined in a tree, so no task sees more than one block's rows, however large the source. The last fraction of a
 source may belong to a large document; what rounding it leaves of the target is then made up by whole copies of documents
-that are not longer than what is missing, until none is left that short.
+shorter than twice of what is missing, until a thousandth is missed at most or none is left that short.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import WORD, drop_saved, fresh, parts, save, whole
 BLOCK = 8192
 #: Shares of what a source misses that its short documents are drawn in, and how many of these shares are looked at.
 SHARES, LOOKED_AT = 64, 256
+#: The part of a target that may be missed.
+NEAR = 0.001
 
 
 def text_size(text: Column) -> Column:
@@ -162,23 +164,25 @@ def pivotal_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _made_up(out: DataFrame, cap: float, seed: int) -> DataFrame:
     """out with the words that a source's copies miss of its target, or have over it, made up by one copy more or less of
-    documents that are not longer.
+    documents that bring it nearer: those shorter than twice of what is missing.
 
     Each round deals a source's documents into shares of a SHARES-th of what is missing and takes the largest shares that
-    fit, so what is missing shrinks many times over. It ends when no document with room is short enough.
+    bring it nearer, so what is missing shrinks many times over. It ends within NEAR of the target, or when no document
+    with room is short enough.
     """
     spark, idle = out.sparkSession, 0
     by = out.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("n")).collect()
-    missing = {r["source"]: r["t"] - r["n"] for r in by}
+    missing, near = {r["source"]: r["t"] - r["n"] for r in by}, {r["source"]: NEAR * r["t"] for r in by}
     row = F.xxhash64(F.col("o.id"), F.col("o.size"))
-    while idle < 3:
+    while idle < 2:
         seed += 1
 
         def dealt(shares: dict[str | None, int], taken: dict[str | None, list[int]], now: DataFrame = out, draw: int = seed) -> DataFrame:
-            plan = [(s, 1 if v > 0 else -1, abs(v), shares.get(s, 1), taken.get(s, [])) for s, v in missing.items()]
+            plan = [(s, 1 if v > 0 else -1, abs(v), shares.get(s, 1), taken.get(s, [])) for s, v in missing.items() if abs(v) > near[s]]
             p = F.broadcast(spark.createDataFrame(plan, "source string, more long, words double, shares long, taken array<long>"))
-            both = now.alias("o").join(p.alias("p"), F.col("o.source").eqNullSafe(F.col("p.source")))
-            fits = (F.col("size") > 0) & (F.col("size") <= F.col("words")) & (F.col("copies") + F.col("more")).between(0, int(cap))
+            both = now.alias("o").join(p.alias("p"), F.col("o.source").eqNullSafe(F.col("p.source")), "left")
+            fits = F.col("words").isNotNull() & (F.col("size") > 0) & (F.col("size") < 2 * F.col("words")) & (F.col("copies") + F.col("more")).between(0, int(cap))
+            fits = F.coalesce(fits, F.lit(False))
             return both.select("o.*", "more", "taken", fits.alias("fits"), F.pmod(F.xxhash64(row, F.lit(draw)), F.col("shares")).alias("share"))
 
         held = {r["source"]: r["n"] for r in dealt({}, {}).where("fits").groupBy("source").agg(F.sum("size").alias("n")).collect()}
@@ -189,8 +193,8 @@ def _made_up(out: DataFrame, cap: float, seed: int) -> DataFrame:
         before, taken = dict(missing), {}
         for r in sorted(found, key=lambda r: (-r["n"], r["share"])):
             s = r["source"]
-            if r["n"] <= abs(missing[s]):
-                missing[s] -= r["n"] if before[s] > 0 else -r["n"]
+            if r["n"] < 2 * missing[s] * (sign := 1 if before[s] > 0 else -1):
+                missing[s] -= sign * r["n"]
                 taken.setdefault(s, []).append(r["share"])
         idle = 0 if taken else idle + 1
         if taken:

@@ -104,9 +104,9 @@ def test_mixing_keeps_sums_and_caps(spark, sf_dir, docs):
         own[source].append(r)
     for s, t in target.items():
         miss = t - taken[s]
-        # No document that is as short as the miss has room for another copy, or a copy to spare.
-        assert not [r for r in own[s] if 0 < r["size"] <= abs(miss) and (r.taken < 3 * r["size"] if miss > 0 else r.taken > 0)]
-        assert abs(miss) <= 0.02 * t  # ten documents a source here; 0.3 % at sf0.01, under two words at sf0.1
+        # Near, or no document that would bring the source nearer has room for another copy, or a copy to spare.
+        assert abs(miss) <= 0.001 * t or not [r for r in own[s] if 0 < r["size"] < 2 * abs(miss) and (r.taken < 3 * r["size"] if miss > 0 else r.taken > 0)]
+        assert abs(miss) <= 0.04 * t  # ten documents a source here; 0.2 % at sf0.01, 0.1 % at sf0.1
     assert sum(target.values()) == pytest.approx(sum(r["size"] for r in rows))
 
 
