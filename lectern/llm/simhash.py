@@ -226,6 +226,8 @@ def links(fps: DataFrame, max_bits: int = 3, max_bucket: int = MAX_BUCKET) -> Da
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component of the edges (src, dst), by large and small stars."""
     now = save(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "stars")
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     mark = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
