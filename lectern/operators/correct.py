@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,36 +11,164 @@ from pyspark.sql import functions as F
 
 from ..functions import correction as C
 from ..functions import text as T
-from .common import components, small
+from .common import components, cut_lineage, small
+from .occurrences import occurrences
 
-#: Glossary entries, learned pairs and readings that travel to every task, at most.
-MOST = 200_000
+PARTS = ("aliases", "sound", "spelling")
 
 
-def lexicon(terms: DataFrame, corrections: DataFrame | None = None, readings: DataFrame | None = None, letters: str = T.HAN) -> C.Lexicon:
-    """The lists people keep, as one object for the tasks; more than MOST rows of any is an error."""
+def reader(readings: DataFrame | None, column: str) -> Callable[[Column], Column]:
+    """text -> its reading, a character at a time; characters without one stay. There is a row for each character at most,
+    so the list is bounded by the characters there are."""
+    if readings is None:
+        return lambda text: text
+    table = {ord(c): r for c, r in readings.select("char", column).collect()}
 
-    def rows(df: DataFrame | None, *cols: str) -> list:
-        got = [] if df is None else df.select(*cols).limit(MOST + 1).collect()
-        if len(got) > MOST:
-            raise ValueError(f"more than {MOST} rows of {cols}")
-        return sorted(tuple(r) for r in got)
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t.translate(table), na_action="ignore")
+
+    return read
 
-    python_letters = letters.replace(r"\x{4e00}", "一").replace(r"\x{9fff}", "鿿")
-    read = rows(readings, "char", "toneless", "toned")
-    return C.Lexicon(dict(rows(corrections, "wrong", "right")), rows(terms, "source", "mode"), {c: a for c, a, _ in read}, {c: b for c, _, b in read}, python_letters)
 
+def near_terms(tokens: DataFrame, rules: DataFrame) -> DataFrame:
+    """(token, term) of tokens (token) within ``most`` edits of a rule's key, case apart; a token that is the term is not one.
 
-def corrected(text: Column, lex: C.Lexicon, parts: tuple[str, ...] = ("aliases", "sound", "spelling")) -> Column:
-    """The text after aliases, then each term's rule, longest first; every rule reads what the one before wrote."""
+    Of most + 1 pieces that a token is cut into, one survives any ``most`` edits, moved by as many places at most. So
+    tokens wait at their pieces, keys come with every substring that may be such a piece, and pairs that meet are
+    measured. Rows grow with tokens times pieces and keys times places, never with tokens times keys.
+    """
+    words = tokens.where(F.col("token").isNotNull()).select("token", F.lower("token").alias("low")).distinct()
+    keys = rules.select("term", "key", "most").distinct()
+    same = words.join(keys, F.col("low") == F.col("key")).select("token", "term")
+    piece = lambda i, n, e: (F.floor(i * n / (e + 1)).cast("int"), (F.floor((i + 1) * n / (e + 1)) - F.floor(i * n / (e + 1))).cast("int"))
+    fuzzy = keys.where("most > 0").withColumn("size", F.length("key"))
+    every = fuzzy.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("size") - F.col("most")), F.col("size") + F.col("most")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    at, length = piece(F.col("i"), F.col("n"), F.col("most"))
+    moved = F.col("size") - F.col("n")
+    shifts = F.sequence(F.ceil((moved - F.col("most")) / 2).cast("int"), F.floor((moved + F.col("most")) / 2).cast("int"))
+    places = every.withColumn("length", length).withColumn("place", F.explode(F.transform(shifts, lambda k: at + k))).where("length > 0 AND place >= 0 AND place + length <= size")
+    waiting = places.select("term", "key", "most", "n", "i", F.substring("key", F.col("place") + 1, F.col("length")).alias("piece")).distinct()
+    # The lengths and budgets that keys ask for: a few rows.
+    asked = waiting.select("n", "most").distinct()
+    cut = words.withColumn("n", F.length("low")).join(asked, "n").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    at, length = piece(F.col("i"), F.col("n"), F.col("most"))
+    pieces = cut.select("token", "low", "n", "most", "i", F.substring("low", at + 1, length).alias("piece"))
+    met = pieces.join(waiting, ["n", "most", "i", "piece"]).select("token", "low", "term", "key", "most").distinct()
+    # Levenshtein with a bound gives -1 beyond it.
+    close = met.where(F.levenshtein("low", "key") <= F.col("most")).select("token", "term")
+    return same.unionByName(close).where(F.col("token") != F.col("term")).distinct()
+
+
+def _windows(text: Column, width: Column) -> Column:
+    n = F.length(text) - width + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, width)))).otherwise(F.array().cast("array<string>"))
+
+
+class Rules:
+    """The lists people keep, as tables that pieces of text meet: what a window of letters sounds like, and what a Latin word
+    is spelled like. Nothing bounds their number."""
+
+    def __init__(self, terms: DataFrame, readings: DataFrame | None = None, letters: str = T.HAN, parts: tuple[str, ...] = PARTS) -> None:
+        self.toneless, self.toned, self.letters, self.parts = reader(readings, "toneless"), reader(readings, "toned"), letters, parts
+        self.known = terms.select(F.col("source").alias("piece")).distinct()
+        rules = term_rules(terms, self.toneless(F.col("source")), letters).select("term", "key", "by_sound", "most").distinct()
+        self.sounds = rules.where("by_sound").select("term", "key", F.length("term").alias("width"))
+        self.spellings = rules.where("NOT by_sound")
+        #: Lengths of terms: a few numbers.
+        self.widths = [r[0] for r in self.sounds.select("width").distinct().collect()] if "sound" in parts else []
+
+    def moves(self, texts: DataFrame) -> DataFrame:
+        """(key, piece, term, by_sound): what the rules make of pieces of texts (key, text)."""
+        out = None
+        if self.widths:
+            width = F.explode(F.array(*(F.lit(w) for w in self.widths))).alias("width")
+            said = texts.select("key", "text", width).select("key", "width", F.explode(_windows(F.col("text"), F.col("width"))).alias("piece")).where(F.col("piece").rlike(f"^(?:{self.letters})+$"))
+            # Each distinct window meets the rules once; a known word is never a mistake.
+            heard = said.select("piece", "width").distinct().join(self.known, "piece", "left_anti").withColumn("sound", self.toneless(F.col("piece")))
+            rivals = heard.join(self.sounds.withColumnRenamed("key", "sound"), ["width", "sound"])
+            far = F.levenshtein(self.toned(F.col("term")), self.toned(F.col("piece")))
+            best = rivals.groupBy("piece").agg(F.min(F.struct(far.alias("far"), "term")).alias("best")).select("piece", "best.term")
+            out = said.select("key", "piece").join(best, "piece").select("key", "piece", "term", F.lit(True).alias("by_sound"))
+        if "spelling" in self.parts:
+            said = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(LATIN), F.lit(0)))).alias("piece"))
+            near = near_terms(said.select(F.col("piece").alias("token")), self.spellings).withColumnRenamed("token", "piece")
+            own = said.join(near, "piece").select("key", "piece", "term", F.lit(False).alias("by_sound"))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+
+#: What counts as one Latin word (fixed pattern), for Spark's expressions.
+LATIN = r"[A-Za-z\x{c0}-\x{1ef9}][A-Za-z\x{c0}-\x{1ef9}'\u2019-]*"
+
+def _rewritten(text: Column, moves: Column) -> Column:
+    @F.pandas_udf("struct<fixed:string,steps:array<string>>")
+    def run(texts: pd.Series, moves: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([C.rewritten(t, [(m["piece"], m["term"], m["by_sound"]) for m in own]) for t, own in zip(texts, moves, strict=True)], columns=["fixed", "steps"])
+
+    return run(text, moves)
+
+
+def aliased(texts: DataFrame, corrections: DataFrame, known: DataFrame) -> DataFrame:
+    """(text, fixed) of texts (text) that hold a learned pair's wrong side: one pass, the longest side first at each place,
+    and what is written is not read again. A word that the glossary knows is never a wrong side."""
+    pairs = corrections.select("wrong", "right").where("wrong <> ''").join(known.select(F.col("piece").alias("wrong")), "wrong", "left_anti").groupBy("wrong").agg(F.max("right").alias("right"))
+    hits = occurrences(texts, pairs.select(F.col("wrong").alias("term"))).join(pairs.withColumnRenamed("wrong", "term"), "term")
+    own = hits.groupBy("text").agg(F.collect_list(F.struct("term", "right")).alias("pairs"))
 
     @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ready = lex.prepared()
-        for b in batches:
-            yield b.map(lambda t: ready.rewrite(t, parts) if t else t)
+    def replaced(texts: pd.Series, pairs: pd.Series) -> pd.Series:
+        out = []
+        for text, some in zip(texts, pairs, strict=True):
+            right = {p["term"]: p["right"] for p in some}
+            pattern = "|".join(re.escape(w) for w in sorted(right, key=len, reverse=True))
+            out.append(re.sub(pattern, lambda m, right=right: right[m[0]], text))
+        return pd.Series(out)
+
+    return own.select("text", replaced(F.col("text"), F.col("pairs")).alias("fixed"))
 
-    return run(text)
+
+def corrected(lines: DataFrame, terms: DataFrame, corrections: DataFrame | None = None, readings: DataFrame | None = None, letters: str = T.HAN, parts: tuple[str, ...] = PARTS, text_col: str = "source") -> DataFrame:
+    """lines with ``fixed``: the text after learned pairs, then each term's rule, longest term first, then by name; every
+    rule reads what the ones before wrote.
+
+    Tables say which pieces of a text the rules would change, and only texts with such pieces are rewritten, by those
+    rules alone. A rewriting tells the texts it went through; their pieces meet the rules again, and where they ask for a
+    rule that was left out the text is rewritten anew with it. When no text asks any more, every text is what all rules
+    together make of it. Equal texts are rewritten once; null and empty ones stay.
+    """
+    text = F.col(f"`{text_col}`")
+    rules = Rules(terms, readings, letters, parts)
+    base = lines.where(text != "").select(text.alias("text")).distinct()
+    if corrections is not None and "aliases" in parts:
+        base = base.join(aliased(base, corrections, rules.known), "text", "left").withColumn("now", F.coalesce("fixed", "text")).select("text", "now")
+    else:
+        base = base.withColumn("now", F.col("text"))
+    base = cut_lineage(base)
+    done = base.where("text <> now").select("text", F.col("now").alias("fixed"))
+    if "sound" in parts or "spelling" in parts:
+        ruled = _ruled(base.select(F.col("now").alias("key")).distinct(), rules)
+        done = base.join(ruled, base["now"] == ruled["key"], "left").select("text", F.coalesce("fixed", "now").alias("fixed"))
+    return lines.join(done.withColumnRenamed("text", "_text"), text == F.col("_text"), "left").withColumn("fixed", F.coalesce("fixed", text)).drop("_text")
+
+
+def _ruled(texts: DataFrame, rules: Rules) -> DataFrame:
+    """(key, fixed) of the texts (key) that a rule changes."""
+    move = F.collect_set(F.struct("piece", "term", "by_sound"))
+    state = rules.moves(texts.select("key", F.col("key").alias("text"))).groupBy("key").agg(move.alias("moves"))
+    done: list[DataFrame] = []
+    while True:
+        ran = cut_lineage(state.select("key", "moves", _rewritten(F.col("key"), F.col("moves")).alias("r")).select("key", "moves", "r.*"))
+        more = rules.moves(ran.select("key", F.explode("steps").alias("text"))).groupBy("key").agg(move.alias("more"))
+        both = cut_lineage(ran.join(more, "key", "left").withColumn("more", F.array_except(F.coalesce("more", F.array_except("moves", "moves")), "moves")))
+        done.append(both.where("size(more) = 0").select("key", "fixed"))
+        state = both.where("size(more) > 0").select("key", F.concat("moves", "more").alias("moves"))
+        if state.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def term_rules(terms: DataFrame, key: Column | None = None, letters: str = T.HAN) -> DataFrame:
@@ -59,13 +188,10 @@ def fix_latin(lines: DataFrame, rules: DataFrame) -> DataFrame:
 
     Distinct tokens meet the rules, so a word is compared once however often it is said.
     """
-    token = r"[A-Za-z\x{c0}-\x{1ef9}][A-Za-z\x{c0}-\x{1ef9}'’-]*"
-    pieces = lines.select("line_id", F.regexp_extract_all(F.col("source"), F.lit(token), F.lit(0)).alias("_t"), F.split("source", token, -1).alias("_g"))
+    pieces = lines.select("line_id", F.regexp_extract_all(F.col("source"), F.lit(LATIN), F.lit(0)).alias("_t"), F.split("source", LATIN, -1).alias("_g"))
     each = pieces.select("line_id", F.posexplode("_t").alias("_i", "token"))
     words = each.select("token").distinct()
-    near = words.join(small(rules.where("NOT by_sound")), F.levenshtein(F.lower("token"), F.col("key"), 64).between(0, F.col("most")) & (F.abs(F.length("token") - F.length("key")) <= F.col("most")))
-    w = Window.partitionBy("token").orderBy(F.desc(F.length("term")), "term", "id")
-    best = near.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("token", "term")
+    best = near_terms(words, rules.where("NOT by_sound")).groupBy("token").agg(F.min(F.struct((-F.length("term")).alias("n"), "term")).alias("best")).select("token", "best.term")
     new = each.join(best, "token", "left").groupBy("line_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("term", "token").alias("t")))), lambda x: x["t"]).alias("_n"))
     glued = F.array_join(F.flatten(F.zip_with("_g", F.coalesce("_n", F.array().cast("array<string>")), lambda g, t: F.filter(F.array(g, t), lambda x: x.isNotNull()))), "")
     done = pieces.join(new, "line_id", "left").select("line_id", glued.alias("fixed"))

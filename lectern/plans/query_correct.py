@@ -27,8 +27,7 @@ def pairs_of(terms):
 
 @query("cor1_apply_aliases")
 def cor1(lines, terms):
-    lex = O.lexicon(terms, pairs_of(terms))
-    return lines.select("line_id", O.corrected(F.col("source"), lex, ("aliases",)).alias("fixed"))
+    return O.corrected(lines, terms, pairs_of(terms), parts=("aliases",)).select("line_id", "fixed")
 
 
 @query("cor2_term_rules", """
@@ -40,8 +39,7 @@ def cor2(terms):
 @query("cor3_fix_homophones")
 def cor3(lines, terms):
     low = terms.withColumn("source", F.lower("source"))
-    lex = O.lexicon(low, None, readings(lines.sparkSession), LETTERS)
-    return lines.select("line_id", O.corrected(F.col("source"), lex, ("sound",)).alias("fixed"))
+    return O.corrected(lines, low, None, readings(lines.sparkSession), LETTERS, ("sound",)).select("line_id", "fixed")
 
 
 @query("cor4_fix_latin", """
@@ -68,8 +66,7 @@ def cor4(lines, terms):
 
 @query("cor5_correct_lines")
 def cor5(lines, terms):
-    lex = O.lexicon(terms, pairs_of(terms), readings(lines.sparkSession), "[à-ÿ]")
-    return lines.select("line_id", O.corrected(F.col("source"), lex).alias("fixed"))
+    return O.corrected(lines, terms, pairs_of(terms), readings(lines.sparkSession), "[à-ÿ]").select("line_id", "fixed")
 
 
 @query("cor6_term_collisions", """
@@ -105,8 +102,7 @@ def cor9(edits, terms):
 
 @query("cor10_score_corrections")
 def cor10(lines, terms):
-    lex = O.lexicon(terms, pairs_of(terms))
-    pairs = lines.select(F.col("source").alias("before"), O.corrected(F.col("source"), lex).alias("after"))
+    pairs = O.corrected(lines, terms, pairs_of(terms)).select(F.col("source").alias("before"), F.col("fixed").alias("after"))
     vocab = aggs.ngram_vocabulary(lines.withColumn("text", F.lower("source")), LETTERS)
     return O.score_changes(pairs, vocab, letters="[a-zA-Z]")
 

@@ -14,26 +14,6 @@ from lectern.streaming import live
 READINGS = [("工", "gong", "gong1"), ("公", "gong", "gong1"), ("單", "dan", "dan1"), ("生", "sheng", "sheng1"), ("升", "sheng", "sheng1"), ("管", "guan", "guan3"), ("館", "guan", "guan3"), ("官", "guan", "guan1"), ("的", "de", "de1"), ("理", "li", "li3"), ("事", "shi", "shi4")]
 
 
-def lexicon(terms, aliases=None):
-    return C.Lexicon(aliases or {}, terms, {c: a for c, a, _ in READINGS}, {c: b for c, _, b in READINGS}).prepared()
-
-
-def test_an_alias_is_not_read_again_and_a_known_word_is_never_wrong():
-    assert lexicon([], {"生館": "生管", "生管": "升官"}).replace_aliases("生館的事") == "生管的事"
-    assert lexicon([("生館", "hint")], {"生館": "生管"}).replace_aliases("生館") == "生館"
-
-
-def test_near_misses_of_terms_only():
-    lex = lexicon([("工單", "hint"), ("Vincent", "keep")])
-    assert lex.rewrite("公單的管理") == "工單的管理"
-    assert lex.rewrite("incent and Vincents came") == "Vincent and Vincent came"
-    assert lex.rewrite("wind") == "wind"
-    both = lexicon([("生管", "hint"), ("升官", "hint")])
-    assert both.rewrite("生館的事") == "生管的事"
-    assert both.rewrite("升官的事") == "升官的事"
-    assert lexicon([("工單", "protect")]).rewrite("公單") == "公單"
-
-
 def test_changed_terms_look_like_words():
     assert C.changed_terms("確認料耗的數量", "確認料號的數量") == [("料耗", "料號")]
     assert C.changed_terms("有的問題", "有裂痕問題") == []
