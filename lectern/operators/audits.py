@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import correction as C
 from ..functions import text as T
-from .common import small
+from .occurrences import occurrences
 
 SECTIONS = ("TITLE", "SUMMARY", "DECISIONS", "ACTIONS", "RISKS", "OPEN_QUESTIONS")
 
@@ -34,9 +34,10 @@ def accept(proposals: DataFrame, terms: DataFrame | None = None, key_of=lambda c
     def stood(before: pd.Series, after: pd.Series, term: pd.Series) -> pd.Series:
         return pd.Series([C.replaced_by(x, y, t) for x, y, t in zip(before, after, term, strict=True)])
 
-    few = small(terms.where("source <> ''").select(F.col("source").alias("_term")).distinct())
     # The verdict is of the two texts alone, so equal proposals share it.
-    brought = p.where("_size AND NOT _silent").select("original", "_c").distinct().join(few, F.col("_c").contains(F.col("_term")) & ~F.col("original").contains(F.col("_term")))
+    asked = p.where("_size AND NOT _silent").select("original", "_c").distinct()
+    held = occurrences(asked.select(F.col("_c").alias("text")), terms.select(F.col("source").alias("term"))).select(F.col("text").alias("_c"), F.col("term").alias("_term"))
+    brought = asked.join(held, "_c").where(~F.col("original").contains(F.col("_term")))
     brought = brought.withColumn("_was", stood("original", "_c", "_term"))
     x, y = key_of(F.col("_was")), key_of(F.col("_term"))
     far = F.levenshtein(x, y)
@@ -181,7 +182,7 @@ def prompt_rows(lines: DataFrame, terms: DataFrame, template: str, size: int = 2
     text = F.coalesce(F.array_join(F.transform(F.reverse(before), lambda x: x["source"]), "\n"), F.lit(""))
     filled = asked.withColumn("_context", text).join(found, ["session_id", "chunk"], "left")
     prompt = F.lit(template)
-    for key, value in (("{terms}", F.coalesce("_terms", F.lit(""))), ("{context}", F.col("_context")), ("{note}", F.substring(note if note is not None else F.lit(""), 1, 2000)), ("{lines}", F.col("_lines"))):
+    for key, value in (("{terms}", F.coalesce("_terms", F.lit(""))), ("{context}", F.col("_context")), ("{note}", note if note is not None else F.lit("")), ("{lines}", F.col("_lines"))):
         prompt = F.replace(prompt, F.lit(key), value)
     return filled.select("session_id", "chunk", prompt.alias("prompt"))
 

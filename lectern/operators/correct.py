@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import correction as C
 from ..functions import text as T
-from .common import components, cut_lineage, small
+from .common import components, cut_lineage
 from .occurrences import occurrences
 
 PARTS = ("aliases", "sound", "spelling")
@@ -32,7 +32,7 @@ def reader(readings: DataFrame | None, column: str) -> Callable[[Column], Column
 
 
 def near_terms(tokens: DataFrame, rules: DataFrame) -> DataFrame:
-    """(token, term) of tokens (token) within ``most`` edits of a rule's key, case apart; a token that is the term is not one.
+    """(token, term) of tokens (token) within ``most`` edits of a rule's key, case apart.
 
     Of most + 1 pieces that a token is cut into, one survives any ``most`` edits, moved by as many places at most. So
     tokens wait at their pieces, keys come with every substring that may be such a piece, and pairs that meet are
@@ -57,7 +57,7 @@ def near_terms(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     met = pieces.join(waiting, ["n", "most", "i", "piece"]).select("token", "low", "term", "key", "most").distinct()
     # Levenshtein with a bound gives -1 beyond it.
     close = met.where(F.levenshtein("low", "key") <= F.col("most")).select("token", "term")
-    return same.unionByName(close).where(F.col("token") != F.col("term")).distinct()
+    return same.unionByName(close).distinct()
 
 
 def _windows(text: Column, width: Column) -> Column:
@@ -92,7 +92,7 @@ class Rules:
             out = said.select("key", "piece").join(best, "piece").select("key", "piece", "term", F.lit(True).alias("by_sound"))
         if "spelling" in self.parts:
             said = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(LATIN), F.lit(0)))).alias("piece"))
-            near = near_terms(said.select(F.col("piece").alias("token")), self.spellings).withColumnRenamed("token", "piece")
+            near = near_terms(said.select(F.col("piece").alias("token")), self.spellings).where("token <> term").withColumnRenamed("token", "piece")
             own = said.join(near, "piece").select("key", "piece", "term", F.lit(False).alias("by_sound"))
             out = own if out is None else out.unionByName(own)
         return out
@@ -268,8 +268,9 @@ def score_guards(judged: DataFrame, vocabulary: DataFrame, lines: DataFrame, est
     words = good.select("before", "after", "_times", F.explode(diff_terms(F.col("before"), F.col("after"), letters, script)).alias("d"))
     words = words.select("before", "after", "_times", F.col("d.wrong").alias("was"), F.col("d.right").alias("now"))
     suspect = words.join(vocabulary.select(F.col("gram").alias("was"), "n"), "was").where(F.col("n") >= established).agg(F.coalesce(F.sum("_times"), F.lit(0)).alias("suspect"))
-    asked = small(words.select(F.explode(F.array("was", "now")).alias("word")).distinct())
-    said = lines.join(asked, F.col("text").contains(F.col("word"))).groupBy("word").agg(F.sum((F.length("text") - F.length(F.replace("text", F.col("word")))) / F.length("word")).alias("k"))
+    asked = words.select(F.explode(F.array("was", "now")).alias("term")).distinct()
+    spoken = occurrences(lines, asked).withColumnRenamed("term", "word").join(lines.groupBy("text").agg(F.count("*").alias("_lines")), "text")
+    said = spoken.groupBy("word").agg(F.sum(F.col("_lines") * (F.length("text") - F.length(F.replace("text", F.col("word")))) / F.length("word")).alias("k"))
     both = words.join(said.select(F.col("word").alias("was"), F.col("k").alias("a")), "was", "left").join(said.select(F.col("word").alias("now"), F.col("k").alias("b")), "now", "left")
     hit = both.where((F.coalesce("a", F.lit(0.0)) >= established) & (F.coalesce("a", F.lit(0.0)) > F.coalesce("b", F.lit(0.0))))
     displaced = hit.select("before", "after", "_times").distinct().agg(F.coalesce(F.sum("_times"), F.lit(0)).alias("displaces"))

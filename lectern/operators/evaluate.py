@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import correction as C
 from ..functions import text as T
 from .common import overlap_join
 from .joins import nearest_line
 
 
-def _word_distance(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diag, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (x != y))
-    return row[-1]
-
-
 def error_rate(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """(session_id, lang, metric, errors, total, rate): characters where the reference is mostly Han, else words.
 
@@ -39,7 +29,7 @@ def error_rate(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     @F.pandas_udf("struct<errors:long,total:long>")
     def count(metric: pd.Series, r: pd.Series, h: pd.Series) -> pd.DataFrame:
         units = [(list(a), list(b)) if m == "cer" else (a.split(), b.split()) for m, a, b in zip(metric, r, h, strict=True)]
-        return pd.DataFrame({"errors": [_word_distance(a, b) if a else 0 for a, b in units], "total": [len(a) for a, _ in units]})
+        return pd.DataFrame({"errors": [C.distance(a, b) if a else 0 for a, b in units], "total": [len(a) for a, _ in units]})
 
     out = sides.withColumn("_c", count("metric", "r", "h"))
     rate = F.when(F.col("_c.total") > 0, F.round(F.col("_c.errors") / F.col("_c.total"), 4)).otherwise(0.0)
@@ -50,7 +40,7 @@ def speaker_error(ref: DataFrame, hyp: DataFrame, most: int = 7) -> DataFrame:
     """(session_id, error, ref_speakers, hyp_speakers, note): attribution error under the best one-to-one map of labels.
 
     Lines pair by time; one without a pair is a label of its own. A line weighs its normalised length. More than
-    ``most`` labels are not mapped.
+    ``most`` labels on the side judged are not mapped; the reference may have any number.
     """
     near = nearest_line(ref, hyp)
     h = hyp.select(F.col("line_id").alias("hyp_id"), F.col("speaker").alias("h"))
@@ -64,29 +54,46 @@ def speaker_error(ref: DataFrame, hyp: DataFrame, most: int = 7) -> DataFrame:
         error, note = None, f"{len(right)} labels are too many to map"
         if len(right) <= most:
             cell = {(r, h): w for r, h, w in zip(group["r"], group["h"], group["w"], strict=True)}
-            short, long_ = (right, left) if len(right) <= len(left) else (left, right)
-            # A label may also stay without a partner, which the longer side's spare places stand for.
-            get = (lambda s, x: cell.get((x, s), 0)) if short is right else (lambda s, x: cell.get((s, x), 0))
-            hit = max(sum(get(s, x) for s, x in zip(short, chosen, strict=True)) for chosen in permutations(long_, len(short))) if len(long_) <= most + 1 else _greedy(cell)
+            # A label may also stay without a partner, which places of no weight stand for.
+            hit = best_assignment([[int(cell.get((r, h), 0)) for h in right] for r in left])
             error, note = round(1 - hit / total, 4) if total else 0.0, ""
         return pd.DataFrame([(group["session_id"].iloc[0], error, len(left), len(right), note)], columns=["session_id", "error", "ref_speakers", "hyp_speakers", "note"])
 
     return matrix.groupBy("session_id").applyInPandas(best, "session_id long, error double, ref_speakers int, hyp_speakers int, note string")
 
 
-def _greedy(cell: dict[tuple[str, str], int]) -> int:
-    """Best assignment by augmenting over subsets of the shorter side; used where permutations would be many."""
-    rows = sorted({r for r, _ in cell})
-    cols = sorted({h for _, h in cell})
-    best = {0: 0}
-    for r in rows:
-        new = dict(best)
-        for mask, v in best.items():
-            for k, c in enumerate(cols):
-                if not mask >> k & 1:
-                    new[mask | 1 << k] = max(new.get(mask | 1 << k, 0), v + cell.get((r, c), 0))
-        best = new
-    return max(best.values())
+def best_assignment(weight: list[list[int]]) -> int:
+    """The largest sum of weights over one-to-one maps of rows to columns, by shortest augmenting paths with prices.
+
+    Each row in turn looks for a column; where it is held, the holder moves on along the path that costs least. Prices of
+    rows and columns keep every step's cost at zero or above, so a path is found by taking the nearest column each time.
+    """
+    if len(weight) > len(weight[0]):
+        weight = [list(column) for column in zip(*weight, strict=True)]
+    rows, cols = len(weight), len(weight[0])
+    row_price, col_price, holder = [0] * rows, [0] * (cols + 1), [-1] * (cols + 1)
+    for new in range(rows):
+        # The place past the columns is where the path of the new row starts.
+        holder[cols], at = new, cols
+        near, came, seen = [float("inf")] * cols, [cols] * cols, set()
+        while holder[at] >= 0:
+            seen.add(at)
+            r = holder[at]
+            for c in range(cols):
+                if c not in seen:
+                    cost = -weight[r][c] - row_price[r] - col_price[c]
+                    if cost < near[c]:
+                        near[c], came[c] = cost, at
+            to = min((c for c in range(cols) if c not in seen), key=near.__getitem__)
+            step = near[to]
+            for c in seen:
+                row_price[holder[c]] += step
+                col_price[c] -= step
+            near = [v if c in seen else v - step for c, v in enumerate(near)]
+            at = to
+        while at != cols:
+            holder[at], at = holder[came[at]], came[at]
+    return sum(weight[holder[c]][c] for c in range(cols) if holder[c] >= 0)
 
 
 def split_on_turns(utts: DataFrame, turns: DataFrame, least: float = 0.5) -> DataFrame:

@@ -7,9 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .common import small
-
-#: Phrases of subtitle boilerplate; a deployment passes its own list (patterns, matched without case).
-BOILERPLATE = (r"thank(?:s| you) for watching", r"subscribe to (?:our|the) channel", r"please subscribe", r"^thank you(?: very much)?[.!]?$")
+from .occurrences import occurrences
+
+#: Phrases of subtitle boilerplate (fixed values; patterns, matched without case). A deployment may pass its own.
+BOILERPLATE = (
+    r"đăng ký kênh", r"theo dõi và (hẹn|đăng)", r"hẹn gặp lại", r"subscribe cho kênh", r"la la school",
+    r"thank(s| you) for watching", r"subscribe to (our|the) channel", r"please subscribe",
+    r"^thank you( very much)?[.!]?$", r"^see you next time[.!]?$",
+    r"小鈴鐺",
+    r"訂閱(我們的)?頻道", r"點選訂閱", r"歡迎訂閱", r"請不吝", r"點贊", r"打賞", r"明鏡", r"點點欄目",
+    r"ming pao", r"amara\.org", r"字幕(組|小組)", r"字幕由", r"本期的?(影片|視頻|節目)", r"謝謝觀看", r"感謝觀看",
+    r"^中文字幕(提供)?$",
+    r"歡迎收[看睇]", r"感謝收[看睇]", r"本集(?!團).{0,4}(完|結束|到此)", r"本期(完|播放)", r"本節目", r"下部節目",
+    r"(請您|敬請|歡迎)關注", r"(謝謝|感謝|多謝)[^。！!]{0,4}(收[看睇]|觀看)",
+    r"^剪輯[·:：]?[一-鿿]{2,3}$",
+    r"(下次|下期|下集|下回)再?見(再見|囉)?[。！!]?$", r"多多支援", r"請按贊", r"支持明鏡",
+)
 
 
 def search_lines(lines: DataFrame, sessions: DataFrame, keywords: list[str], since: str | None = None, until: str | None = None, limit: int = 400) -> DataFrame:
@@ -46,8 +59,10 @@ def filter_corrections(corrections: DataFrame, q: str) -> DataFrame:
 
 def relevant_terms(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """(line columns, term_id, term): terms whose text a line contains, without case."""
-    few = small(terms.select(F.col("id").alias("term_id"), F.col("source").alias("term")))
-    return lines.join(few, F.lower(lines["source"]).contains(F.lower(F.col("term"))) & (F.col("term") != ""))
+    low = F.lower("source").alias("_low")
+    named = terms.where("source <> ''").select(F.col("id").alias("term_id"), F.col("source").alias("term"), low)
+    hits = occurrences(lines.select(F.lower("source").alias("text")), named.select(F.col("_low").alias("term"))).select(F.col("text").alias("_text"), F.col("term").alias("_low"))
+    return lines.join(hits, F.lower(lines["source"]) == F.col("_text")).join(named, "_low").select(*(lines[c] for c in lines.columns), "term_id", "term")
 
 
 def glossary_hits(corpora: DataFrame, terms: DataFrame) -> DataFrame:
@@ -56,9 +71,13 @@ def glossary_hits(corpora: DataFrame, terms: DataFrame) -> DataFrame:
     A corpus is many lines; a term that runs over a line's end is not found.
     """
     key = lambda c: F.lower(T.normalize(c))
-    few = small(terms.select(F.col("source").alias("term")).distinct())
-    hits = corpora.join(few, key(F.col("text")).contains(key(F.col("term")))).select("corpus", "term").distinct()
-    every = corpora.select("corpus").distinct().join(few)
+    few = terms.select(F.col("source").alias("term"), key(F.col("source")).alias("_key")).distinct()
+    said = corpora.select("corpus", key(F.col("text")).alias("_text")).distinct()
+    found = occurrences(said.select(F.col("_text").alias("text")), few.select(F.col("_key").alias("term"))).select(F.col("text").alias("_text"), F.col("term").alias("_key"))
+    hits = said.join(found, "_text").select("corpus", "_key").distinct().join(few, "_key").select("corpus", "term")
+    # Every text holds the empty term; and the question asks for each corpus with each term.
+    hits = hits.unionByName(said.where("_text IS NOT NULL").select("corpus").distinct().join(few.where("_key = ''").select("term"))).distinct()
+    every = corpora.select("corpus").distinct().join(small(few.select("term")))
     return every.join(hits.withColumn("found", F.lit(True)), ["corpus", "term"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
@@ -86,7 +105,7 @@ def is_boilerplate(text: Column, phrases: tuple[str, ...] = BOILERPLATE, script:
     """Any phrase in the text as it is, in the other script, or in either without spaces."""
     other = T.convert_script(text, *script)
     forms = F.array(text, other, F.replace(text, F.lit(" ")), F.replace(other, F.lit(" ")))
-    return F.exists(forms, lambda f: f.rlike("(?i)" + "|".join(phrases)))
+    return F.exists(forms, lambda f: f.rlike("(?iu)" + "|".join(phrases)))
 
 
 def judge(text: Column, lang: Column, configured: Column, phrases: tuple[str, ...] = BOILERPLATE, script: tuple[str, str] = ("", "")) -> Column:

@@ -14,10 +14,10 @@ def hits_per_session(hits: DataFrame) -> DataFrame:
 
 def pick_sessions(hits: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     """(session_id, hits): by hits, then place in the index (newest first); free slots from the index in order."""
-    w = Window.orderBy(F.desc("started"), F.desc("session_id"))
-    placed = index.select("session_id", F.row_number().over(w).alias("_place"))
-    every = hits.join(placed, "session_id", "left").select("session_id", "hits", "_place").union(placed.join(hits, "session_id", "left_anti").select("session_id", F.lit(0).cast("long"), "_place"))
-    return every.orderBy(F.desc("hits"), F.asc_nulls_last("_place"), F.desc("session_id")).limit(limit).select("session_id", "hits")
+    # The place in the index is the order of (started, session_id), so nothing needs to be numbered.
+    placed = index.select("session_id", "started", F.lit(True).alias("_in"))
+    every = hits.join(placed, "session_id", "left").select("session_id", "hits", "_in", "started").union(placed.join(hits, "session_id", "left_anti").select("session_id", F.lit(0).cast("long"), "_in", "started"))
+    return every.orderBy(F.desc("hits"), F.desc_nulls_last("_in"), F.desc_nulls_last("started"), F.desc("session_id")).limit(limit).select("session_id", "hits")
 
 
 def summary_index(sessions: DataFrame, summaries: DataFrame, n: int = 60, lang: str = "en") -> DataFrame:

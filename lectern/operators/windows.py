@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,41 +162,43 @@ def chunk_spans(meetings: DataFrame, chunk: float = 180.0, overlap: float = 20.0
 # ---- folds: whether a row joins depends on where its run began ----
 
 
-def _fold(df: DataFrame, fields: list[str], joins, length: Column | None = None) -> DataFrame:
-    """df with ``run``: rows of a session in order, each joining the run before if joins(state, row) says so.
+def _fold(df: DataFrame, fields: list[str], follows: Callable[[Column], Column], seconds: float, chars: int | None = None) -> DataFrame:
+    """df with ``run``: rows of a session in order, each joining the run before if it follows the row before and the run
+    then still is within seconds (from its first start to the row's end) and chars.
 
-    The state is (run, first, prev, chars): the first and last row of the run and its length. One session is folded in
-    one task; a session is a meeting, thousands of lines.
+    Whether a row follows is an expression over the row before. Only the bounds need the run's beginning; they are a single
+    pass over four numbers a row, linear in the meeting's length.
     """
-    packed = df.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("start", "line_id", *fields))).alias("_rows"))
-    size = lambda x: F.length(x["source"]) if "source" in fields else F.lit(0)
-    row = "struct<line_id:bigint,run:int>"
-
-    def step(a, x):
-        more = a["prev"].isNotNull() & F.coalesce(joins(a, x), F.lit(False))
-        run = F.when(more, a["run"]).otherwise(a["run"] + 1)
-        return F.struct(
-            run.alias("run"),
-            F.when(more, a["first"]).otherwise(x).alias("first"),
-            x.alias("prev"),
-            F.when(more, a["chars"] + size(x)).otherwise(size(x)).alias("chars"),
-            F.array_append(a["out"], F.struct(x["line_id"].alias("line_id"), run.alias("run"))).alias("out"),
-        )
-
-    kind = packed.schema["_rows"].dataType.elementType.simpleString()
-    zero = F.struct(F.lit(0).alias("run"), F.lit(None).cast(kind).alias("first"), F.lit(None).cast(kind).alias("prev"), F.lit(0).alias("chars"), F.array().cast(f"array<{row}>").alias("out"))
-    folded = packed.select("session_id", F.explode(F.aggregate("_rows", zero, step, lambda a: a["out"])).alias("_o"))
-    return df.join(folded.select("session_id", F.col("_o.line_id").alias("line_id"), F.col("_o.run").alias("run")), ["session_id", "line_id"])
+    before = F.lag(F.struct("start", *fields)).over(Window.partitionBy("session_id").orderBy("start", "line_id"))
+    size = F.length("source") if chars is not None else F.lit(0)
+    plain = df.withColumn("_p", before).select("session_id", "line_id", "start", F.col("end_time").cast("double").alias("end_time"), size.cast("double").alias("size"), F.coalesce(follows(F.col("_p")), F.lit(False)).alias("follows"))
+    types = dict(df.dtypes)
+
+    def number(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("start", "ascending"), ("line_id", "ascending")])
+        run, first, held, out = 0, 0.0, 0.0, []
+        # A missing number is never within a bound.
+        cols = (np.array([float("nan") if v is None else v for v in t[c].to_pylist()], float).tolist() for c in ("start", "end_time", "size"))
+        for start, end, n, more in zip(*cols, t["follows"].to_pylist(), strict=True):
+            if more and end - first <= seconds and (chars is None or held + n <= chars):
+                held += n
+            else:
+                run, first, held = run + 1, start, n
+            out.append(run)
+        return t.select(["session_id", "line_id"]).append_column("run", pa.array(out, pa.int32()))
+
+    runs = plain.groupBy("session_id").applyInArrow(number, f"session_id {types['session_id']}, line_id {types['line_id']}, run int")
+    return df.join(runs, ["session_id", "line_id"])
 
 
 def merge_runs(utts: DataFrame, max_gap: float = 2.0, max_span: float = 20.0) -> DataFrame:
     """Utterances with ``run``: one speaker, gaps of 0 to max_gap, at most max_span from first start to last end."""
 
-    def joins(a, x):
-        gap = x["start"] - a["prev"]["end_time"]
-        return (a["prev"]["speaker"] == x["speaker"]) & (gap >= 0) & (gap <= max_gap) & (x["end_time"] - a["first"]["start"] <= max_span)
+    def follows(p: Column) -> Column:
+        gap = F.col("start") - p["end_time"]
+        return (p["speaker"] == F.col("speaker")) & (gap >= 0) & (gap <= max_gap)
 
-    return _fold(utts, ["end_time", "speaker"], joins)
+    return _fold(utts, ["end_time", "speaker"], follows, max_span)
 
 
 def _runs(lines: DataFrame, blocked: DataFrame | None, seconds: float, chars: int, terminal: bool, max_gap: float) -> DataFrame:
@@ -200,17 +206,16 @@ def _runs(lines: DataFrame, blocked: DataFrame | None, seconds: float, chars: in
     if blocked is not None:
         marked = lines.join(blocked.select("session_id", "line_id").distinct().withColumn("_hit", F.lit(True)), ["session_id", "line_id"], "left").withColumn("_blocked", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
-    def joins(a, x):
-        p = a["prev"]
-        ok = (p["speaker"] == x["speaker"]) & (p["lang"] == x["lang"]) & (p["status"] == "ok") & (x["status"] == "ok") & ~p["refined"] & ~x["refined"]
-        ok = ok & p["end_time"].isNotNull() & x["end_time"].isNotNull() & (x["start"] - p["end_time"] <= max_gap) & ~x["_blocked"]
-        ok = ok & (x["end_time"] - a["first"]["start"] <= seconds) & (a["chars"] + F.length(x["source"]) <= chars)
+    def follows(p: Column) -> Column:
+        x = F.col
+        ok = (p["speaker"] == x("speaker")) & (p["lang"] == x("lang")) & (p["status"] == "ok") & (x("status") == "ok") & ~p["refined"] & ~x("refined")
+        ok = ok & p["end_time"].isNotNull() & x("end_time").isNotNull() & (x("start") - p["end_time"] <= max_gap) & ~x("_blocked")
         if terminal:
             text = F.rtrim(p["source"])
             ok = ok & (text != "") & ~F.lit(TERMINAL).contains(F.right(text, F.lit(1)))
         return ok
 
-    runs = _fold(marked, ["end_time", "speaker", "lang", "status", "refined", "source", "_blocked"], joins)
+    runs = _fold(marked, ["end_time", "speaker", "lang", "status", "refined", "source"], follows, seconds, chars)
     n = F.count("*").over(Window.partitionBy("session_id", "run"))
     return runs.withColumn("_n", n).where("_n > 1").drop("_n", "_blocked")
 

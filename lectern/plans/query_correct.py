@@ -55,7 +55,7 @@ def cor4(lines, terms):
     token = r"[A-Za-z][A-Za-z'-]*"
     pairs = F.arrays_zip(F.regexp_extract_all(F.col("source"), F.lit(token), F.lit(0)).alias("a"), F.regexp_extract_all(F.col("fixed"), F.lit(token), F.lit(0)).alias("b"))
     each = fixed.select("line_id", F.explode(pairs).alias("p"))
-    hit = each.join(O.small(rules.select(F.col("term"), "key", "most")), F.col("p.b") == F.col("term"), "left")
+    hit = each.join(rules.select("term", "key", "most"), F.col("p.b") == F.col("term"), "left")
     near = F.when(F.levenshtein(F.lower("p.a"), F.col("key")) <= F.col("most"), F.col("term"))
     one = hit.groupBy("line_id", "p").agg(F.count("*").alias("_m"), F.max(near).alias("term"), F.first("p").alias("_p"))
     n = each.groupBy("line_id", "p").agg(F.count("*").alias("k"))
