@@ -16,10 +16,10 @@ def aud1(edits, terms):
 
 
 @query("aud1_accept_by_size", """
-    WITH p AS (SELECT line_id, regexp_replace(substr(source, 1, 30), '[^ -~]', '', 'g') AS o FROM lines), c AS (SELECT line_id, o, replace(o, 'th', 'dh') AS c FROM p)
+    WITH p AS (SELECT line_id, regexp_replace(source, '[^ -~]', '', 'g') AS o FROM lines), c AS (SELECT line_id, o, replace(o, 'th', 'dh') AS c FROM p)
     SELECT line_id, c <> '' AND trim(c) <> o AND regexp_replace(trim(c), '\\s+', '', 'g') <> regexp_replace(o, '\\s+', '', 'g') AND levenshtein(o, trim(c)) <= greatest(2, CAST(floor(len(o) * 0.3) AS INT)) AND levenshtein(o, trim(c)) <= least(len(o) * 0.2, 3) AS accepted FROM c""".replace("\\\\", "\\"))
 def aud1b(lines):
-    p = lines.select("line_id", F.regexp_replace(F.substring("source", 1, 30), "[^ -~]", "").alias("original"))
+    p = lines.select("line_id", F.regexp_replace("source", "[^ -~]", "").alias("original"))
     return O.accept(p.withColumn("candidate", F.regexp_replace("original", "th", "dh"))).select("line_id", "accepted")
 
 
@@ -35,7 +35,7 @@ def _replies(parts, text):
 @query("aud2_audit_refine")
 def aud2(runs):
     parts = _chunked(runs)
-    some = parts.where("place = 2 OR session_id % 5 = 0")
+    some = parts.where("place = 2 OR speaker = 'S1'")
     return O.audit_refine(_replies(some, F.regexp_replace("source", "th", "dh")), parts).select("line_id", "refined_text", "refused", "skipped")
 
 

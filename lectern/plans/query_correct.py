@@ -77,7 +77,7 @@ def cor6(lines, terms):
 
 
 def proposals(edits):
-    first = edits.where("n = 0").select("line_id", F.substring("text", 1, 30).alias("original"))
+    first = edits.where("n = 0").select("line_id", F.col("text").alias("original"))
     return first.withColumn("candidate", F.regexp_replace("original", "th", "dh"))
 
 

@@ -11,7 +11,7 @@ from .registry import query
 
 @query("edt1_apply_line_edits", """
     WITH a AS (SELECT l.line_id, l.source, l.refined, max(CASE WHEN n = 0 THEN text END) AS t0, max(CASE WHEN n = 1 THEN text END) AS t1, max(CASE WHEN n = 2 THEN text END) AS t2 FROM lines l JOIN edits e USING (line_id) GROUP BY ALL)
-    SELECT line_id, t2 AS source, CASE WHEN t0 = t1 THEN source END AS orig_source, true AS refined FROM a UNION ALL SELECT line_id, source, NULL, refined FROM lines WHERE line_id % 10 <> 0""")
+    SELECT line_id, t2 AS source, CASE WHEN t0 = t1 THEN source END AS orig_source, true AS refined FROM a UNION ALL SELECT line_id, source, NULL, refined FROM lines WHERE speaker <> 'S1'""")
 def edt1(lines, edits):
     return O.apply_line_edits(lines, edits).select("line_id", "source", "orig_source", "refined")
 
@@ -28,16 +28,16 @@ def edt2b(sessions):
 
 
 @query("edt3_replace_transcript", """
-    WITH h AS (SELECT line_id, session_id, start, end_time FROM lines WHERE line_id % 5 = 0 AND session_id % 2 = 0), n AS (SELECT line_id + 500 AS line_id, session_id, start + 0.25 AS start, end_time + 0.25 AS end_time, substr(source, 3, 9) AS source FROM lines WHERE session_id % 2 = 0),
+    WITH h AS (SELECT line_id, session_id, start, end_time FROM lines WHERE line_id % 5 = 0 AND lang = 'zh'), n AS (SELECT line_id + 500 AS line_id, session_id, start + 0.25 AS start, end_time + 0.25 AS end_time, upper(source) AS source FROM lines WHERE lang = 'zh'),
     p AS (SELECT h.line_id AS edit_id, n.line_id, h.start, n.start AS ns, least(h.end_time, n.end_time) - greatest(h.start, n.start) AS o, h.end_time - h.start AS own, n.end_time - n.start AS len FROM h JOIN n USING (session_id)),
     b AS (SELECT * FROM p WHERE o > 0 AND o / own >= 0.6 AND len / own <= 1.6 QUALIFY row_number() OVER (PARTITION BY edit_id ORDER BY o DESC, ns, line_id) = 1),
     c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY start DESC, edit_id DESC) = 1)
-    SELECT line_id, CASE WHEN c.edit_id IS NOT NULL THEN concat(substr(l.source, 1, 5), '!') ELSE n.source END AS source, c.edit_id IS NOT NULL AS hand FROM n LEFT JOIN c USING (line_id) LEFT JOIN lines l ON l.line_id = c.edit_id
-    UNION ALL SELECT line_id, CASE WHEN line_id % 5 = 0 THEN concat(substr(source, 1, 5), '!') ELSE source END, line_id % 5 = 0 FROM lines WHERE session_id % 2 = 1""")
+    SELECT line_id, CASE WHEN c.edit_id IS NOT NULL THEN concat(l.source, '!') ELSE n.source END AS source, c.edit_id IS NOT NULL AS hand FROM n LEFT JOIN c USING (line_id) LEFT JOIN lines l ON l.line_id = c.edit_id
+    UNION ALL SELECT line_id, CASE WHEN line_id % 5 = 0 THEN concat(source, '!') ELSE source END, line_id % 5 = 0 FROM lines WHERE lang <> 'zh'""")
 def edt3(lines, voiceprints):
     hand = F.col("line_id") % 5 == 0
-    old = lines.withColumn("orig_source", F.when(hand, F.col("source"))).withColumn("source", F.when(hand, F.concat(F.substring("source", 1, 5), F.lit("!"))).otherwise(F.col("source")))
-    new = lines.where("session_id % 2 = 0").withColumn("line_id", F.col("line_id") + 500).withColumn("start", F.col("start") + 0.25).withColumn("end_time", F.col("end_time") + 0.25).withColumn("source", F.substring("source", 3, 9))
+    old = lines.withColumn("orig_source", F.when(hand, F.col("source"))).withColumn("source", F.when(hand, F.concat("source", F.lit("!"))).otherwise(F.col("source")))
+    new = lines.where("lang = 'zh'").withColumn("line_id", F.col("line_id") + 500).withColumn("start", F.col("start") + 0.25).withColumn("end_time", F.col("end_time") + 0.25).withColumn("source", F.upper("source"))
     return O.replace_transcript(old, new, voiceprints)[0].select("line_id", "source", F.col("orig_source").isNotNull().alias("hand"))
 
 

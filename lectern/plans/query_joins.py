@@ -38,11 +38,11 @@ def join3(lines, speaker_names):
 
 
 @query("join4_known_prints", """
-    WITH v AS (SELECT * FROM known_prints WHERE vec_id % 20 = 0), f AS (SELECT name, min_by(centroid, vec_id) AS centroid FROM known_prints GROUP BY name),
+    WITH v AS (SELECT * FROM known_prints WHERE name <> 'N3'), f AS (SELECT name, min_by(centroid, vec_id) AS centroid FROM known_prints GROUP BY name),
     u AS (SELECT name, centroid FROM v UNION SELECT name, centroid FROM f WHERE name NOT IN (SELECT name FROM v))
     SELECT name, count(*) AS n, round(sum(CAST(centroid[1] AS DOUBLE)), 5) AS s FROM u GROUP BY name""")
 def join4(known_prints):
-    found = O.known_prints(known_prints.where("vec_id % 20 = 0"), known_prints.groupBy("name").agg(F.min_by("centroid", "vec_id").alias("centroid")))
+    found = O.known_prints(known_prints.where("name <> 'N3'"), known_prints.groupBy("name").agg(F.min_by("centroid", "vec_id").alias("centroid")))
     return found.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum(F.get("centroid", F.lit(0)).cast("double")), 5).alias("s"))
 
 
@@ -66,23 +66,23 @@ def join7(speaker_names, lines, known_prints):
 
 
 @query("join8_restore_edits", """
-    WITH e AS (SELECT line_id AS edit_id, session_id, start + 0.2 AS start, CASE WHEN line_id % 7 = 0 THEN start + 2.2 ELSE end_time END AS end_time FROM lines WHERE line_id % 3 = 0),
+    WITH e AS (SELECT line_id AS edit_id, session_id, start + 0.2 AS start, CASE WHEN line_id % 7 = 0 THEN start + 2.2 ELSE end_time END AS end_time FROM lines),
     p AS (SELECT edit_id, line_id, e.start, n.start AS ns, least(e.end_time, n.end_time) - greatest(e.start, n.start) AS o, greatest(e.end_time - e.start, 0.001) AS own, n.end_time - n.start AS len
           FROM e JOIN lines n ON e.session_id = n.session_id),
     b AS (SELECT * FROM p WHERE o > 0 AND o / own >= 0.6 AND len / own <= 1.6 QUALIFY row_number() OVER (PARTITION BY edit_id ORDER BY o DESC, ns, line_id) = 1)
     SELECT edit_id, line_id FROM b QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY start DESC, edit_id DESC) = 1""")
 def join8(lines):
     end = F.when(F.col("line_id") % 7 == 0, F.lit(None)).otherwise(F.col("end_time"))
-    edits = lines.where("line_id % 3 = 0").select(F.col("line_id").alias("edit_id"), "session_id", (F.col("start") + 0.2).alias("start"), end.alias("end_time"))
+    edits = lines.select(F.col("line_id").alias("edit_id"), "session_id", (F.col("start") + 0.2).alias("start"), end.alias("end_time"))
     return O.restore_edits(edits, lines)
 
 
 @query("join9_nearest_line", """
-    WITH h AS (SELECT session_id, line_id, floor(start * 1.5 + line_id % 4) AS s FROM lines WHERE line_id % 2 = 0)
+    WITH h AS (SELECT session_id, line_id, floor(start * 1.5 + line_id % 4) AS s FROM lines)
     SELECT session_id, ref_id, hyp_id FROM (SELECT l.session_id, l.line_id AS ref_id, h.line_id AS hyp_id, abs(floor(l.start) - h.s) AS g, h.s FROM lines l JOIN h ON h.session_id = l.session_id) x
     WHERE g < 6 QUALIFY row_number() OVER (PARTITION BY session_id, ref_id ORDER BY g, s, hyp_id) = 1""")
 def join9(lines):
-    hyp = lines.where("line_id % 2 = 0").select("session_id", "line_id", (F.col("start") * 1.5 + F.col("line_id") % 4).alias("start"))
+    hyp = lines.select("session_id", "line_id", (F.col("start") * 1.5 + F.col("line_id") % 4).alias("start"))
     return O.nearest_line(lines, hyp)
 
 

@@ -29,11 +29,11 @@ def src1(lines):
     return back.select(F.regexp_extract("file", r"session_id=([0-9]+)", 1).cast("long").alias("session_id"), F.col("place").cast("long").alias("place"), "start", "speaker", "lang", "text")
 
 
-@query("src2_read_proposals", "SELECT substr(source, 1, 20) AS before, substr(source, 3, 20) AS after FROM runs WHERE len(trim(substr(source, 1, 20))) = 20 AND len(trim(substr(source, 3, 20))) = 20")
+@query("src2_read_proposals", "SELECT trim(source) AS before, trim(replace(source, 'th', 'dh')) AS after FROM runs WHERE trim(source) <> ''")
 def src2(runs):
     path = _folder(runs, "proposals")
-    a, b = F.substring("source", 1, 20), F.substring("source", 3, 20)
-    good = runs.where((F.length(F.trim(a)) == 20) & (F.length(F.trim(b)) == 20))
+    a, b = F.trim("source"), F.trim(F.replace("source", F.lit("th"), F.lit("dh")))
+    good = runs.where(a != "")
     good.select(F.concat(F.lit("noise\n  [1:02] "), a, F.lit("\n      -> "), b).alias("value")).write.text(path)
     return O.read_proposals(runs.sparkSession, path).select("before", "after")
 
@@ -109,7 +109,7 @@ def sca13(edits):
 
         return pd.Series([" ".join(f"{k}:{t}" for k, t in C.char_diff(x, y)) for x, y in zip(a, b, strict=True)])
 
-    one = edits.where("n = 0").select("line_id", F.substring("text", 1, 24).alias("a"))
+    one = edits.where("n = 0").select("line_id", F.col("text").alias("a"))
     return one.select("line_id", diff("a", F.regexp_replace("a", "th", "dh")).alias("diff"))
 
 
@@ -173,7 +173,7 @@ def str5(edits):
     return S.merge_lines(e, 2)
 
 
-@query("str6_refine_previous", "SELECT line_id, CASE WHEN line_id % 10 = 0 THEN concat(substr(source, 1, 20), ' e0') ELSE source END AS source, refined OR line_id % 10 = 0 AS refined FROM lines")
+@query("str6_refine_previous", "SELECT line_id, CASE WHEN speaker = 'S1' THEN concat(source, ' e0') ELSE source END AS source, refined OR speaker = 'S1' AS refined FROM lines")
 def str6(lines, edits, translations):
     revisions = edits.select("line_id", F.col("n").alias("seq"), F.col("text").alias("source"), F.create_map(F.lit("fr"), "text").alias("translations"))
     return S.refine_previous(joins.lines_with_translations(lines, translations), revisions).select("line_id", "source", "refined")

@@ -28,12 +28,12 @@ def vox3(known_prints):
 
 
 @query("vox4_unlearn_voice", f"""
-    WITH w AS (SELECT concat('N', vec_id % 7) AS name, centroid FROM voiceprints WHERE vec_id % 11 = 1),
+    WITH w AS (SELECT concat('N', vec_id % 7) AS name, centroid FROM voiceprints WHERE session_id < 4),
     s AS (SELECT a.vec_id, b.name, b.centroid AS v, {_COS} AS c FROM known_prints a JOIN w b ON a.name = b.name),
     x AS (SELECT vec_id FROM s WHERE c >= 0.15 QUALIFY row_number() OVER (PARTITION BY name, v ORDER BY c DESC, vec_id DESC) = 1)
     SELECT vec_id AS print_id, name FROM known_prints WHERE vec_id NOT IN (SELECT vec_id FROM x)""")
 def vox4(known_prints, voiceprints):
-    wrong = voiceprints.where("vec_id % 11 = 1").select(F.concat(F.lit("N"), (F.col("vec_id") % 7).cast("string")).alias("name"), F.col("centroid").alias("vector"))
+    wrong = voiceprints.where("session_id < 4").select(F.concat(F.lit("N"), (F.col("vec_id") % 7).cast("string")).alias("name"), F.col("centroid").alias("vector"))
     return O.unlearn_voice(known_prints.withColumnRenamed("vec_id", "print_id"), wrong, 0.15).select("print_id", "name")
 
 

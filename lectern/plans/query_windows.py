@@ -54,14 +54,14 @@ def _fragments(seconds: int, chars: int, terminal: bool) -> str:
     SELECT line_id, CAST(run AS INT) AS run FROM f QUALIFY count(*) OVER (PARTITION BY session_id, run) > 1"""
 
 
-@query("win4_merge_fragments", _fragments(30, 120, True))
+@query("win4_merge_fragments", _fragments(30, 1200, True))
 def win4(runs):
-    return O.merge_fragments(runs).select("line_id", "run")
+    return O.merge_fragments(runs, chars=1200).select("line_id", "run")
 
 
-@query("win5_candidate_runs", _fragments(60, 240, False))
+@query("win5_candidate_runs", _fragments(60, 2400, False))
 def win5(runs):
-    return O.candidate_runs(runs).select("line_id", "run")
+    return O.candidate_runs(runs, chars=2400).select("line_id", "run")
 
 
 @query("win6_join_lines", """
@@ -161,11 +161,11 @@ def win17(sessions):
 
 
 @query("top1_pick_sessions", """
-    WITH h AS (SELECT session_id, count(*) AS hits FROM lines WHERE contains(source, 'ing') AND session_id % 9 = 0 GROUP BY 1), i AS (SELECT session_id, row_number() OVER (ORDER BY started DESC, session_id DESC) AS place FROM sessions)
+    WITH h AS (SELECT session_id, count(*) AS hits FROM lines WHERE contains(source, 'ing') GROUP BY 1), i AS (SELECT session_id, row_number() OVER (ORDER BY started DESC, session_id DESC) AS place FROM sessions)
     SELECT session_id, hits FROM (SELECT h.session_id, hits, place FROM h LEFT JOIN i USING (session_id) UNION ALL SELECT session_id, 0, place FROM i WHERE session_id NOT IN (SELECT session_id FROM h)) x
     ORDER BY hits DESC, place NULLS LAST, session_id DESC LIMIT 30""")
 def top1(lines, sessions):
-    hits = tops.hits_per_session(lines.where(F.col("source").contains("ing") & (F.col("session_id") % 9 == 0)))
+    hits = tops.hits_per_session(lines.where(F.col("source").contains("ing")))
     return tops.pick_sessions(hits, sessions, 30)
 
 
@@ -179,9 +179,9 @@ def top2(sessions):
 
 
 @query("top3_top_changes", """
-    SELECT class, was, now, n FROM (SELECT lang AS class, substr(source, 1, 3) AS was, substr(source, 4, 1) AS now, count(*) AS n FROM runs GROUP BY ALL) x QUALIFY row_number() OVER (PARTITION BY class ORDER BY n DESC, was, now) <= 10""")
+    SELECT class, was, now, n FROM (SELECT lang AS class, speaker AS was, status AS now, count(*) AS n FROM runs GROUP BY ALL) x QUALIFY row_number() OVER (PARTITION BY class ORDER BY n DESC, was, now) <= 10""")
 def top3(runs):
-    return tops.top_changes(runs.select(F.col("lang").alias("class"), F.substring("source", 1, 3).alias("was"), F.substring("source", 4, 1).alias("now")))
+    return tops.top_changes(runs.select(F.col("lang").alias("class"), F.col("speaker").alias("was"), F.col("status").alias("now")))
 
 
 @query("top4_order_corrections", "SELECT source AS wrong, row_number() OVER (ORDER BY len(source) DESC, source, id) AS place FROM terms")
@@ -215,9 +215,9 @@ def set2(lines, terms):
 
 
 @query("set3_with_index_picks", """
-    WITH h AS (SELECT session_id, count(*) AS hits FROM lines WHERE session_id = 7 GROUP BY 1) SELECT session_id, hits FROM h UNION ALL
-    SELECT session_id, 0 FROM (SELECT DISTINCT session_id FROM sessions WHERE session_id % 10 = 7) p WHERE session_id NOT IN (SELECT session_id FROM h) AND (SELECT count(*) FROM h) < 2""")
+    WITH h AS (SELECT session_id, count(*) AS hits FROM lines WHERE speaker = 'S3' GROUP BY 1) SELECT session_id, hits FROM h UNION ALL
+    SELECT session_id, 0 FROM (SELECT DISTINCT session_id FROM sessions WHERE lines_rev = 1) p WHERE session_id NOT IN (SELECT session_id FROM h) AND (SELECT count(*) FROM h) < 2""")
 def set3(lines, sessions):
-    return tops.with_index_picks(tops.hits_per_session(lines.where("session_id = 7")), sessions.where("session_id % 10 = 7"))
+    return tops.with_index_picks(tops.hits_per_session(lines.where("speaker = 'S3'")), sessions.where("lines_rev = 1"))
 
 

@@ -18,7 +18,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT line_id, 'de' AS lang, substr(source, 5, 9) AS text FROM lines WHERE line_id % 3 = 0"""),
     "runs": (("lines",), """
         SELECT line_id, session_id, start, end_time, CASE WHEN CAST(floor((line_id % 1000) / 3) AS BIGINT) % 2 = 0 THEN 'S1' ELSE 'S2' END AS speaker,
-               lang, concat(regexp_replace(replace(substr(source, 1, 40), chr(10), ' '), '[. ]+$', ''), CASE WHEN line_id % 1000 % 3 = 2 THEN '.' ELSE '' END) AS source,
+               lang, concat(regexp_replace(replace(source, chr(10), ' '), '[. ]+$', ''), CASE WHEN line_id % 1000 % 3 = 2 THEN '.' ELSE '' END) AS source,
                status, refined
         FROM lines"""),
     "sessions": (("lines",), """
@@ -50,9 +50,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),
     "edits": (("lines",), """
         SELECT line_id, session_id, n, CASE n WHEN 0 THEN 'hand' WHEN 1 THEN 'rerun' ELSE 'model' END AS kind,
-               CASE WHEN n = 1 AND line_id % 20 = 0 THEN source ELSE concat(substr(source, 1, 20), ' e', CAST(n AS STRING)) END AS text
-        FROM lines, (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n) k WHERE line_id % 10 = 0"""),
-    "segments": (("lines",), "SELECT line_id AS segment_id, session_id, start + 0.25 AS start, end_time + 0.25 AS end_time, substr(source, 1, 20) AS text FROM lines"),
+               CASE WHEN n = 1 AND line_id % 20 = 0 THEN source ELSE concat(source, ' e', CAST(n AS STRING)) END AS text
+        FROM lines, (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n) k WHERE speaker = 'S1'"""),
+    "segments": (("lines",), "SELECT line_id AS segment_id, session_id, start + 0.25 AS start, end_time + 0.25 AS end_time, source AS text FROM lines"),
 }
 
 TABLES = ("conversations", "documents", "embeddings", "events", "benchmark", "labels", "pages")
