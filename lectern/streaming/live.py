@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,32 +14,58 @@ from pyspark.sql import functions as F
 Step = Callable[[dict, object], list[tuple]]
 
 
-def _run_rows(state: dict, frame: pd.DataFrame, order: list[str], step: Step) -> list[tuple]:
-    return [out for row in frame.sort_values(order).itertuples(index=False) for out in step(state, row)]
+def _plain(value):
+    """A cell as JSON can hold it."""
+    return value.tolist() if isinstance(value, (np.ndarray, np.generic)) else value
 
 
-def stateful(events: DataFrame, keys: list[str], order: list[str], schema: str, step: Step) -> DataFrame:
+def stateful(events: DataFrame, keys: list[str], order: list[str], schema: str, step: Step, late: float = 0, idle: float | None = None) -> DataFrame:
     """step(state, row) -> output rows, for the events of each key in order; state is a dict that JSON can hold.
 
-    On a stream the order holds within a micro-batch, and the state lives in the state store; nothing is dropped for
-    being late. Output columns are those of the schema, keys included.
+    On a stream, ``late`` is the watermark of a key, in units of order[0]: an event waits in the state until one that much
+    later in the order has come, so events in other micro-batches may still go before it. One that comes later than that
+    is stepped when it comes; none is ever dropped. A key of which nothing came for ``idle`` seconds gives what still
+    waits, and its state is removed; without it state stays. On a table the whole order holds.
+    Output columns are those of the schema, keys included.
     """
     names = [c.split()[0] for c in schema.split(", ")]
+    Row = namedtuple("Row", events.columns)  # noqa: PYI024
+    place = [events.columns.index(c) for c in order]
+
+    def run(state: dict, rows: list) -> list[tuple]:
+        return [out for row in rows for out in step(state, Row(*row))]
+
+    def in_order(rows: list) -> list:
+        return sorted(rows, key=lambda r: [r[k] for k in place])
+
+    def listed(frame: pd.DataFrame) -> list:
+        return [[_plain(v) for v in row] for row in frame.itertuples(index=False)]
 
     if not events.isStreaming:
 
         def fold(group: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(_run_rows({}, group, order, step), columns=names)
+            return pd.DataFrame(run({}, in_order(listed(group))), columns=names)
 
         return events.groupBy(*keys).applyInPandas(fold, schema)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        rows = _run_rows(held, pd.concat(list(frames)), order, step)
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(rows, columns=names)
+        held = json.loads(state.get[0]) if state.exists else {"state": {}, "wait": [], "top": None}
+        if state.hasTimedOut:
+            out = run(held["state"], in_order(held["wait"]))
+            state.remove()
+        else:
+            wait = in_order(held["wait"] + [row for f in frames for row in listed(f)])
+            tops = [x for x in (held["top"], wait[-1][place[0]] if wait else None) if x is not None]
+            held["top"] = max(tops, default=None)
+            ripe = [r for r in wait if held["top"] - r[place[0]] >= late]
+            held["wait"] = [r for r in wait if held["top"] - r[place[0]] < late]
+            out = run(held["state"], ripe)
+            state.update((json.dumps(held),))
+            if idle:
+                state.setTimeoutDuration(int(1000 * idle))
+        yield pd.DataFrame(out, columns=names)
 
-    return events.groupBy(*keys).applyInPandasWithState(update, schema, "state string", "append", "NoTimeout")
+    return events.groupBy(*keys).applyInPandasWithState(update, schema, "state string", "append", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
 def _cos(a, b) -> float:
@@ -57,7 +84,7 @@ def _recognise(vector, known: list[tuple[str, list[float]]], floor: float, margi
     return ranked[0][0]
 
 
-def assign_online(vectors: DataFrame, known: list[tuple[str, list[float]]] | None = None, threshold: float = 0.65, least: float = 1.0, recheck: int = 5, floor: float = 0.80, margin: float = 0.05) -> DataFrame:
+def assign_online(vectors: DataFrame, known: list[tuple[str, list[float]]] | None = None, threshold: float = 0.65, least: float = 1.0, recheck: int = 5, floor: float = 0.80, margin: float = 0.05, late: float = 0, idle: float | None = None) -> DataFrame:
     """(session_id, seq, channel, code, name) for vectors (session_id, seq, channel, seconds, embedding).
 
     The nearest centroid of the channel at the threshold joins, with a running mean; else a new code, numbered over the
@@ -86,10 +113,10 @@ def assign_online(vectors: DataFrame, known: list[tuple[str, list[float]]] | Non
         last[row.channel] = who["code"]
         return [(row.session_id, row.seq, row.channel, who["code"], who["name"])]
 
-    return stateful(vectors, ["session_id"], ["seq"], "session_id long, seq long, channel string, code string, name string", step)
+    return stateful(vectors, ["session_id"], ["seq"], "session_id long, seq long, channel string, code string, name string", step, late, idle)
 
 
-def track_language(detections: DataFrame, switch: int = 3, switch_zh_en: int = 6, pinned: frozenset[str] = frozenset()) -> DataFrame:
+def track_language(detections: DataFrame, switch: int = 3, switch_zh_en: int = 6, pinned: frozenset[str] = frozenset(), late: float = 0, idle: float | None = None) -> DataFrame:
     """(session_id, speaker, seq, language): the language held after each detection (session_id, speaker, seq, lang).
 
     Two agreeing detections set it; a change needs several in a row, more between zh and en; agreement starts the count
@@ -111,10 +138,10 @@ def track_language(detections: DataFrame, switch: int = 3, switch_zh_en: int = 6
             state |= {"held": held, "asked": (asked, n)}
         return [(row.session_id, row.speaker, row.seq, held)]
 
-    return stateful(detections, ["session_id", "speaker"], ["seq"], "session_id long, speaker string, seq long, language string", step)
+    return stateful(detections, ["session_id", "speaker"], ["seq"], "session_id long, speaker string, seq long, language string", step, late, idle)
 
 
-def retry_buffer(events: DataFrame, capacity: int = 24) -> DataFrame:
+def retry_buffer(events: DataFrame, capacity: int = 24, late: float = 0, idle: float | None = None) -> DataFrame:
     """(session_id, item, action, lang) for events (session_id, seq, kind, speaker, item, lang).
 
     fail holds the item with the language tried, the oldest giving way at capacity (dropped). language releases what
@@ -140,10 +167,10 @@ def retry_buffer(events: DataFrame, capacity: int = 24) -> DataFrame:
             state["held"] = []
         return out
 
-    return stateful(events, ["session_id"], ["seq"], "session_id long, item long, action string, lang string", step)
+    return stateful(events, ["session_id"], ["seq"], "session_id long, item long, action string, lang string", step, late, idle)
 
 
-def remember_online(prints: DataFrame, duplicate: float = 0.85, cap: int = 8) -> DataFrame:
+def remember_online(prints: DataFrame, duplicate: float = 0.85, cap: int = 8, late: float = 0, idle: float | None = None) -> DataFrame:
     """(name, seq, learned, held): does each print (name, seq, centroid) teach something, and how many are then kept."""
 
     def step(state: dict, row) -> list[tuple]:
@@ -156,10 +183,10 @@ def remember_online(prints: DataFrame, duplicate: float = 0.85, cap: int = 8) ->
             held.append([float(x) for x in row.centroid])
         return [(row.name, row.seq, learned, len(held))]
 
-    return stateful(prints, ["name"], ["seq"], "name string, seq long, learned boolean, held int", step)
+    return stateful(prints, ["name"], ["seq"], "name string, seq long, learned boolean, held int", step, late, idle)
 
 
-def channel_end(events: DataFrame, channels: int) -> DataFrame:
+def channel_end(events: DataFrame, channels: int, late: float = 0, idle: float | None = None) -> DataFrame:
     """(session_id, seq): the event by which every channel of the session has ended. events: session_id, seq, channel."""
 
     def step(state: dict, row) -> list[tuple]:
@@ -169,7 +196,7 @@ def channel_end(events: DataFrame, channels: int) -> DataFrame:
         ended.append(row.channel)
         return [(row.session_id, row.seq)] if len(ended) == channels else []
 
-    return stateful(events, ["session_id"], ["seq"], "session_id long, seq long", step)
+    return stateful(events, ["session_id"], ["seq"], "session_id long, seq long", step, late, idle)
 
 
 def merge_lines(events: DataFrame, keep: int | None = None) -> DataFrame:
@@ -200,13 +227,13 @@ def refine_previous(lines: DataFrame, revisions: DataFrame) -> DataFrame:
     return joined.withColumn("source", source).withColumn("translations", kept).withColumn("refined", F.col("refined") | F.col("_r").isNotNull()).drop("_r")
 
 
-def live_lines(utterances: DataFrame, corrected, known: list[tuple[str, list[float]]] | None = None, threshold: float = 0.65) -> tuple[DataFrame, DataFrame]:
+def live_lines(utterances: DataFrame, corrected, known: list[tuple[str, list[float]]] | None = None, threshold: float = 0.65, late: float = 0, idle: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines: session_id, seq, code, name, text; failed: utterances without text, for retry_buffer).
 
     utterances: session_id, seq, channel, seconds, embedding, lang, text. corrected: the correction of a text column.
     Speakers are assigned before anything is left out, since an utterance without words still is a voice.
     """
-    who = assign_online(utterances.select("session_id", "seq", "channel", "seconds", "embedding"), known, threshold)
+    who = assign_online(utterances.select("session_id", "seq", "channel", "seconds", "embedding"), known, threshold, late=late, idle=idle)
     joined = utterances.drop("channel").join(who, ["session_id", "seq"])
     said = F.trim(F.coalesce("text", F.lit(""))) != ""
     return joined.where(said).select("session_id", "seq", "code", "name", "lang", corrected(F.col("text")).alias("text")), joined.where(~said).select("session_id", "seq", "code", "lang")
