@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .common import first_per, overlap_join, small
+from .similar import similar_pairs
 
 
 def _folded(child: DataFrame, key: str, lang: str, value: str, name: str) -> DataFrame:
@@ -88,8 +87,13 @@ def nearest_line(ref: DataFrame, hyp: DataFrame, tolerance: int = 5) -> DataFram
     return first_per(near, ["session_id", "ref_id"], "_gap", "_h", "hyp_id").select("session_id", "ref_id", "hyp_id")
 
 
-def voice_scores(prints: DataFrame, known: DataFrame) -> DataFrame:
-    """(session_id, code, name, score): the best cosine of a print to any variant of each name."""
+def voice_scores(prints: DataFrame, known: DataFrame, least: float | None = None) -> DataFrame:
+    """(session_id, code, name, score): the best cosine of a print to any variant of each name; with least, only those at
+    or over it, which angles to pivots find. Without it every name has a score, so the result is prints times names."""
+    if least is not None:
+        left = prints.select(F.lit(0).alias("group"), F.struct("session_id", "code").alias("key"), F.col("centroid").alias("vector"))
+        near = similar_pairs(left, known.select(F.lit(0).alias("group"), F.col("name").alias("key"), F.col("centroid").alias("vector")), least)
+        return near.groupBy("a.session_id", "a.code", F.col("b").alias("name")).agg(F.max("score").alias("score"))
     variants = small(known.select("name", T.unit(F.col("centroid")).alias("_k")), 20_000)
     each = prints.select("session_id", "code", T.unit(F.col("centroid")).alias("_p"))
     return each.join(variants).withColumn("_c", T.dot(F.col("_p"), F.col("_k"))).groupBy("session_id", "code", "name").agg(F.max("_c").alias("score"))
@@ -98,44 +102,17 @@ def voice_scores(prints: DataFrame, known: DataFrame) -> DataFrame:
 def match_voice(prints: DataFrame, known: DataFrame, floor: float = 0.80, margin: float = 0.05) -> DataFrame:
     """(session_id, code, name, score): the best name, if it reaches the floor and beats the next name by the margin."""
     w = Window.partitionBy("session_id", "code").orderBy(F.desc("score"), "name")
-    ranked = voice_scores(prints, known).withColumn("_n", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w))
+    # A name under floor - margin neither wins nor spoils a win.
+    ranked = voice_scores(prints, known, floor - margin - 1e-9).withColumn("_n", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w))
     good = (F.col("_n") == 1) & (F.col("score") >= floor) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin))
     return ranked.where(good).select("session_id", "code", "name", "score")
 
 
-def _pair_rows(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a_session", "a_code", "b_session", "b_code", "score"]
-        for b in batches:
-            for left, right, same in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x, y = (np.array([v["centroid"] for v in side], float) for side in (left, right))
-                x, y = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n) for m in (x, y))
-                score = x @ y.T
-                i, j = np.nonzero(score >= threshold)
-                out = []
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    a, c = left[p], right[q]
-                    if a["session_id"] == c["session_id"] or (same and p >= q):
-                        continue
-                    one, two = sorted([(a["session_id"], a["code"]), (c["session_id"], c["code"])])
-                    out.append((*one, *two, float(score[p, q])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64()))], names)
-
-    return run
-
-
-def cross_meeting_pairs(centroids: DataFrame, threshold: float, block: int = 512) -> DataFrame:
-    """Pairs of voices of different meetings at or over the threshold, each once.
-
-    Voices are dealt into blocks, each one row; every pair of blocks is one matrix product. Every pair is compared,
-    which is the question asked; memory is two blocks.
-    """
-    n = max(1, -(-centroids.count() // block))
-    dealt = centroids.select(F.pmod(F.xxhash64("session_id", "code"), F.lit(n)).alias("_b"), F.struct("session_id", "code", "centroid").alias("_v"))
-    blocks = dealt.groupBy("_b").agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
-    a, b = blocks.select(F.col("_b").alias("_a"), F.col("_vs").alias("left")), blocks.select("_b", F.col("_vs").alias("right"))
-    met = a.join(b, F.col("_a") <= F.col("_b")).select("left", "right", (F.col("_a") == F.col("_b")).alias("same")).repartition(max(8, n))
-    return met.mapInArrow(_pair_rows(threshold), "a_session long, a_code string, b_session long, b_code string, score double")
+def cross_meeting_pairs(centroids: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of voices of different meetings at or over the threshold, each once: a_session, a_code, b_session, b_code, score."""
+    pairs = similar_pairs(centroids.select(F.lit(0).alias("group"), F.struct("session_id", "code").alias("key"), F.col("centroid").alias("vector")), None, threshold)
+    other = pairs.where(F.col("a.session_id") != F.col("b.session_id"))
+    return other.select(F.col("a.session_id").alias("a_session"), F.col("a.code").alias("a_code"), F.col("b.session_id").alias("b_session"), F.col("b.code").alias("b_code"), "score")
 
 
 def match_by_duration(sessions: DataFrame, media: DataFrame, tolerance: float = 2.0) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import aggs, joins, windows
-from .common import components, first_per
+from .common import components, cut_lineage, first_per
+from .similar import similar_pairs
 
 DUPLICATE, CAP, KNOWN = 0.85, 8, 0.80
 
@@ -58,18 +59,22 @@ def complete_linkage(vectors: list, threshold: float) -> list[int]:
     return label.tolist()
 
 
-def cluster_voices(vectors: DataFrame, threshold: float = 0.65) -> DataFrame:
+#: Vectors of a connected group that one task links by itself.
+ONE_TASK = 1000
+
+
+def cluster_voices(vectors: DataFrame, threshold: float = 0.65, one_task: int = ONE_TASK) -> DataFrame:
     """(session_id, item, label): complete linkage per meeting; the label is the group's smallest item.
 
     vectors: session_id, item (long), centroid. A merge needs every cross pair at the threshold, so no merge leaves a
-    connected component of the pairs at the threshold: pairs are found first, and each component is linked by itself.
+    connected component of the pairs at the threshold: pairs are found first, small components are linked in a task each,
+    and larger ones in rounds over the table of their pairs.
     """
-    a = vectors.select("session_id", F.col("item").alias("_a"), T.unit(F.col("centroid")).alias("_x"))
-    b = vectors.select("session_id", F.col("item").alias("_b"), T.unit(F.col("centroid")).alias("_y"))
-    near = a.join(b, "session_id").where((F.col("_a") < F.col("_b")) & (T.dot(F.col("_x"), F.col("_y")) >= threshold))
+    pairs = cut_lineage(similar_pairs(vectors.select(F.col("session_id").alias("group"), F.col("item").alias("key"), F.col("centroid").alias("vector")), None, threshold).withColumnRenamed("group", "session_id"))
     node = lambda c: F.struct("session_id", F.col(c).alias("item"))
-    roots = components(near.select(node("_a").alias("a"), node("_b").alias("b"))).select(F.col("node.session_id").alias("session_id"), F.col("node.item").alias("item"), F.col("root.item").alias("_root"))
-    held = vectors.join(roots, ["session_id", "item"], "left")
+    roots = components(pairs.select(node("a").alias("a"), node("b").alias("b"))).select(F.col("node.session_id").alias("session_id"), F.col("node.item").alias("item"), F.col("root.item").alias("_root"))
+    sizes = roots.groupBy("session_id", "_root").agg((F.count("*") > one_task).alias("_large"))
+    held = vectors.join(roots.join(sizes, ["session_id", "_root"]), ["session_id", "item"], "left")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("item")
@@ -77,8 +82,41 @@ def cluster_voices(vectors: DataFrame, threshold: float = 0.65) -> DataFrame:
         return pd.DataFrame({"session_id": group["session_id"], "item": items, "label": [items[k] for k in complete_linkage(group["centroid"].tolist(), threshold)]})
 
     alone = held.where("_root IS NULL").select("session_id", "item", F.col("item").alias("label"))
-    linked = held.where("_root IS NOT NULL").groupBy("session_id", "_root").applyInPandas(lambda g: link(g), "session_id long, item long, label long")
-    return alone.union(linked)
+    linked = held.where("NOT _large").groupBy("session_id", "_root").applyInPandas(lambda g: link(g), "session_id long, item long, label long")
+    large = cut_lineage(held.where("_large").select("session_id", "item"))
+    if large.isEmpty():
+        return alone.union(linked)
+    mine = large.withColumnRenamed("item", "a")
+    return alone.union(linked).union(linked_in_rounds(large, pairs.join(mine, ["session_id", "a"], "left_semi")))
+
+
+def linked_in_rounds(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(session_id, item, label) by complete linkage of items (session_id, item) over their pairs (session_id, a, b, score)
+    at the threshold.
+
+    In a round each group looks for its nearest one, and two that are each other's nearest merge; no merge brings groups
+    nearer, so all of these merges are among those that merging the best pair of all would come to. The table of pairs of
+    groups then has the worst score of each two and how many pairs are behind it: where one is missing they can not merge.
+    Of equally near pairs the one of smaller labels counts as nearer.
+    """
+    label = items.withColumn("label", F.col("item")).withColumn("n", F.lit(1).cast("long"))
+    table = pairs.select("session_id", "a", "b", "score", F.lit(1).cast("long").alias("pairs"))
+    groups = label.select("session_id", F.col("label").alias("g"), "n")
+    while True:
+        near = F.struct("score", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
+        both = table.select("session_id", F.col("a").alias("g"), near.alias("near")).unionByName(table.select("session_id", F.col("b").alias("g"), near.alias("near")))
+        best = both.groupBy("session_id", "g").agg(F.max("near").alias("near"))
+        # A pair that is the best of both its groups.
+        merged = cut_lineage(best.groupBy("session_id", "near").agg(F.count("*").alias("k")).where("k = 2").select("session_id", (-F.col("near.a")).alias("into"), (-F.col("near.b")).alias("g")))
+        if merged.isEmpty():
+            return label.select("session_id", "item", "label")
+        to = lambda df, c: df.join(merged.withColumnRenamed("g", c), ["session_id", c], "left").withColumn(c, F.coalesce("into", c)).drop("into")  # noqa: E731, B023
+        label = cut_lineage(to(label, "label"))
+        groups = cut_lineage(to(groups, "g").groupBy("session_id", "g").agg(F.sum("n").alias("n")))
+        moved = to(to(table, "a"), "b").where("a <> b")
+        worst = moved.groupBy("session_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("score").alias("score"), F.sum("pairs").alias("pairs"))
+        size = lambda c: groups.select("session_id", F.col("g").alias(c), F.col("n").alias(f"n_{c}"))  # noqa: E731, B023
+        table = cut_lineage(worst.join(size("a"), ["session_id", "a"]).join(size("b"), ["session_id", "b"]).where("pairs = n_a * n_b").select("session_id", "a", "b", "score", "pairs"))
 
 
 def regroup_labels(turns: DataFrame, vectors: DataFrame, threshold: float = 0.75, pooled: float = 60.0, least: float = 5.0) -> DataFrame:
@@ -140,7 +178,7 @@ def suggest_names(prints: DataFrame, known: DataFrame, named: DataFrame, unnamed
     two where there are enough lines, else it is unsure. named: named lines; unnamed: session_id, code, text.
     """
     w = Window.partitionBy("session_id", "code").orderBy(F.desc(F.round("score", 9)), "name")
-    ranked = joins.voice_scores(prints, known).withColumn("_n", F.row_number().over(w))
+    ranked = joins.voice_scores(prints, known, floor - close - 1e-9).withColumn("_n", F.row_number().over(w))
     two = ranked.where("_n <= 2").groupBy("session_id", "code").agg(
         F.max(F.when(F.col("_n") == 1, F.col("name"))).alias("name"), F.max(F.when(F.col("_n") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("_n") == 2, F.col("name"))).alias("second"), F.max(F.when(F.col("_n") == 2, F.col("score"))).alias("_s2")
     ).where(F.col("score") >= floor)
