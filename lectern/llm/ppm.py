@@ -3,12 +3,14 @@
 For each language the training texts give counts of every byte in the context of up to three bytes before it, A-Z in
 lower case. Each order is a level of the language's context tree; escape method C leads from a context that has not
 seen a byte to the next shorter one. The counts are frozen into code lengths, and a text's cost in a language is the
-exact sum over its bytes. The shortest code wins. Languages are scored in groups whose tables are bounded.
+exact sum over its bytes. The shortest code wins. Languages are scored in groups, and trees in slices of their contexts,
+whose tables are bounded; no branch is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_saved, save
 
-#: Branches that a language's tree keeps at each of the two deepest levels: the most frequent ones over all its texts.
-#: The two upper levels are whole. So a group's tables are bounded whatever the corpus.
-NODES = 1 << 17
+#: Branches of the deepest level, for each language of a group, that a task holds at a time. A tree with more is cut into
+#: slices by the two bytes before a byte, which lead to all branches that code it; every branch is in one slice.
+NODES = 1 << 18
 #: Languages whose tables one task holds at a time.
 GROUP = 8
 _SLOTS = 1 << 22
@@ -58,11 +60,10 @@ def _count_rows(flush: int = 1 << 22):
     return run
 
 
-def tree_counts(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", nodes: int = NODES) -> DataFrame:
+def tree_counts(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, level, gram, n): the branches of each language's tree, a gram of level + 1 bytes each, level 0 to 3.
 
-    All rows with text and language are counted. Of the levels 2 and 3 the ``nodes`` most frequent branches stay, ties
-    at the edge left out; what is left out costs an escape. The table is written.
+    All rows with text and language are counted, and all branches are in the table, which is written.
     """
     known = rows.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull() & (F.col(f"`{text_col}`") != ""))
     slim = known.select(F.col(f"`{text_col}`").cast("binary").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
@@ -72,21 +73,18 @@ def tree_counts(rows: DataFrame, text_col: str = "text", lang_col: str = "lang",
         shorter = levels[-1].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * (level + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
         levels.append(shorter.select("lang", F.lit(level).alias("level"), "gram", "n"))
     every = levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3])
-    # How often the last branch that stays was seen, from counts whose leading six bits tell them apart.
-    low = F.greatest(F.length(F.bin("n")) - 6, F.lit(0)).cast("int")
-    floor = F.expr("shiftleft(shiftright(n, low), low)")
-    steps = levels[0].unionByName(levels[1]).withColumn("low", low).groupBy("lang", "level", floor.alias("floor")).agg(F.count("*").alias("k"))
-    fits = F.struct("lang", "level").alias("of")
-    sums = steps.groupBy(fits).agg(F.sort_array(F.collect_list(F.struct("floor", "k")), asc=False).alias("s"))
-    reach = F.aggregate(
-        "s",
-        F.struct(F.lit(0).cast("long").alias("k"), F.lit(None).cast("long").alias("least")),
-        lambda a, x: F.struct((a["k"] + x["k"]).alias("k"), F.when(a["k"] + x["k"] <= nodes, x["floor"]).otherwise(a["least"]).alias("least")),
-        lambda a: a["least"],
-    )
-    least = sums.select("of.lang", "of.level", F.coalesce(reach, F.lit(1 << 62)).alias("least"))
-    kept = every.join(F.broadcast(least), ["lang", "level"], "left").where((F.col("level") < 2) | (F.col("n") >= F.col("least")))
-    return save(kept.select("lang", "level", "gram", "n"), "tree")
+    return save(every, "tree")
+
+
+def _cuts(sizes: dict[int, int], most: int) -> list[tuple[int, int]]:
+    """Ranges of contexts of two bytes with about ``most`` branches each, all contexts together; one context is never cut."""
+    out, low, held = [], 0, 0
+    for context in sorted(sizes):
+        if held and held + sizes[context] > most:
+            out.append((low, context))
+            low, held = context, 0
+        held += sizes[context]
+    return [*out, (low, 1 << 16)]
 
 
 def tables(langs: list[str], lang: np.ndarray, level: np.ndarray, gram: np.ndarray, n: np.ndarray) -> dict:
@@ -169,8 +167,10 @@ def _finder(known: np.ndarray):
 
 
 def coder(t: dict):
-    """cost(text): bits of the whole text in each language of the tables."""
+    """cost(text): bits of the whole text in each language of the tables; of a slice, the bits of its contexts."""
     deep, escape, mid = (_finder(t[x][0]) for x in ("deep", "escapes", "mid"))
+    low, high = t.get("slice", (0, 1 << 16))
+    whole = (low, high) == (0, 1 << 16)
 
     def cost(text: bytes) -> np.ndarray:
         total = np.zeros(len(t["langs"]))
@@ -179,6 +179,9 @@ def coder(t: dict):
         for at in range(0, len(text), 1 << 18):
             back = min(at, 3)
             g = grams(text[at - back : at + (1 << 18)])[back:].astype(np.int64)
+            if not whole:
+                context = (g >> 8) & 0xFFFF
+                g = g[(context >= low) & (context < high)]
             place = deep(g)
             found = place >= 0
             add(t["deep"][1].take(place[found], axis=0))
@@ -203,9 +206,10 @@ def coder(t: dict):
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", nodes: int = NODES, group: int = GROUP) -> list[dict]:
     """The tables of the rows' languages, ``group`` languages each; none if no row has text and language.
 
-    What comes to the driver is one group's branches at a time: at most group * 2 * (nodes + 2**15) rows.
+    A group of more than group * nodes branches is several tables with the same ``langs``, a slice of the contexts each. What
+    comes to the driver is one slice's branches at a time: at most group * (2 * nodes + 2**17) rows.
     """
-    tree = tree_counts(rows, text_col, lang_col, nodes)
+    tree = tree_counts(rows, text_col, lang_col)
     langs = sorted(r["lang"] for r in tree.where("level = 0").select("lang").distinct().collect())
     out = []
     for k in range(0, len(langs), group):
@@ -213,9 +217,14 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", nodes
         codes = {x: j for j, x in enumerate(part)}
         # A dictionary of the language would travel with every row; its number does not.
         number = F.coalesce(*(F.when(F.col("lang") == x, j) for x, j in codes.items()))
-        got = tree.select(number.alias("lang"), "level", "gram", "n").where("lang IS NOT NULL").toArrow()
-        lang, level, gram, n = (got[c].to_numpy() for c in ("lang", "level", "gram", "n"))
-        out.append(tables(part, lang, level, gram, n.astype(float)))
+        own = tree.select(number.alias("lang"), "level", "gram", "n").where("lang IS NOT NULL")
+        # The two bytes before a branch's own; there are 65,536 of them.
+        own = own.withColumn("context", F.shiftright("gram", 8).bitwiseAND(0xFFFF))
+        sizes = {r["context"]: r["n"] for r in own.where("level = 3").groupBy("context").agg(F.count("*").alias("n")).collect()}
+        for low, high in _cuts(sizes, group * nodes):
+            got = own.where((F.col("level") < 2) | ((F.col("context") >= low) & (F.col("context") < high))).toArrow()
+            lang, level, gram, n = (got[c].to_numpy() for c in ("lang", "level", "gram", "n"))
+            out.append(tables(part, lang, level, gram, n.astype(float)) | {"slice": (low, high)})
     drop_saved(tree)
     return out
 
@@ -244,6 +253,32 @@ def _predicted(docs: DataFrame, model: dict) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, row long, bytes long, lang string, cost double, mass double")
 
 
+def _summed(docs: DataFrame, slices: list[dict]) -> DataFrame:
+    """What _predicted gives, for a group of languages whose tree is in slices: each slice reads the texts and gives its part
+    of every language's cost."""
+    langs, parts = slices[0]["langs"], []
+    id_type = docs.schema["id"].dataType.simpleString()
+    for m in slices:
+        sent = docs.sparkSession.sparkContext.broadcast(m)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            cost = coder(sent.value)
+            for b in batches:
+                texts = [t.as_buffer().to_pybytes() if letters else None for t, letters in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+                size, costs = [None if t is None else len(t) for t in texts], [None if t is None else cost(t).tolist() for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(costs, pa.list_(pa.float64()))], ["id", "row", "bytes", "costs"])
+
+        parts.append(save(docs.mapInArrow(run, f"id {id_type}, row long, bytes long, costs array<double>"), "slice-costs"))
+    every = parts[0].drop("id").distinct()
+    for p in parts[1:]:
+        every = every.unionByName(p.drop("id").distinct())
+    sums = every.groupBy("row").agg(F.first("bytes").alias("bytes"), *(F.sum(F.get("costs", F.lit(k))).alias(f"c{k}") for k in range(len(langs))))
+    each = F.array(*(F.struct(F.col(f"c{k}").alias("cost"), F.lit(k).alias("k"), F.lit(x).alias("lang")) for k, x in enumerate(langs)))
+    best = sums.withColumn("b", F.when(F.col("bytes").isNotNull(), F.array_min(each)))
+    mass = sum((F.pow(F.lit(2.0), F.greatest(F.col("b.cost") - F.col(f"c{k}"), F.lit(-1000.0))) for k in range(len(langs))), F.lit(0.0))
+    return parts[0].select("id", "row").join(best.select("row", "bytes", "b.lang", "b.cost", mass.alias("mass")), "row").select("id", "row", "bytes", "lang", "cost", "mass")
+
+
 def predict(docs: DataFrame, model: list[dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score, bits_per_byte of each whole text.
 
@@ -259,7 +294,8 @@ def predict(docs: DataFrame, model: list[dict], id_col: str = "doc_id", text_col
         best = _predicted(slim, model[0])
     else:
         # Each group of languages reads the texts; rows of equal id and text have equal results, so one stands for all.
-        each = [save(_predicted(slim, m), "costs") for m in model]
+        groups = [list(g) for _, g in groupby(model, key=lambda m: m["langs"])]
+        each = [save(_predicted(slim, g[0]) if len(g) == 1 else _summed(slim, g), "costs") for g in groups]
         rows = each[0]
         all_ = each[0].drop("id").distinct()
         for e in each[1:]:

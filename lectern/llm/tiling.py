@@ -27,21 +27,26 @@ _BASE = 0x9E3779B97F4A7C15
 MAX_FILTER = 1_000_000
 
 
-def seeds_of(text: str | None, width: int) -> tuple[int, np.ndarray]:
-    """(number of tokens, the hash of each window). Tokens are case-folded runs of letters and digits."""
+def tokens_of(text: str | None) -> np.ndarray:
+    """A hash of each token; tokens are case-folded runs of letters and digits."""
     found = _TOKEN.findall((text or "").casefold())
-    n = len(found)
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each window of so many tokens."""
+    n = len(h)
     if n < width:
-        return n, np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n)
+        return np.empty(0, np.uint64)
     out = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
         out = out * np.uint64(_BASE) + h[k : n - width + 1 + k]
-    return n, out
+    return out
 
 
-def _seed_rows(width: int, wanted: np.ndarray | None):
-    """(id, row, n, seed, at): the places of each seed of a text, wanted ones only."""
+def _seed_rows(widths: list[int], wanted: np.ndarray | None, own: bool = False):
+    """(id, row, n, seed, at): the places of each seed of a text, wanted ones only. The seeds are windows of all the widths,
+    or, for the text's own, of the last width or the whole text if that is shorter."""
     if wanted is not None:
         table = np.zeros(1 << 22, bool)
         table[wanted >> np.uint64(42)] = True
@@ -50,17 +55,22 @@ def _seed_rows(width: int, wanted: np.ndarray | None):
         for b in batches:
             pick, n_of, seed_of, at_of = [], [], [], []
             for k, text in enumerate(b.column(2)):
-                n, h = seeds_of(text.as_py(), width)
-                at = np.arange(len(h))
+                tokens = tokens_of(text.as_py())
+                n = len(tokens)
+                if not n:
+                    continue
+                each = [windows(tokens, w) for w in ([min(widths[-1], n)] if own else widths)]
+                h, at = np.concatenate(each), np.concatenate([np.arange(len(x)) for x in each])
                 if wanted is not None:
-                    at = np.flatnonzero(table[h >> np.uint64(42)])
-                    if len(at):
-                        near = np.searchsorted(wanted, h[at])
-                        at = at[wanted[np.minimum(near, len(wanted) - 1)] == h[at]]
+                    some = np.flatnonzero(table[h >> np.uint64(42)])
+                    if len(some):
+                        near = np.searchsorted(wanted, h[some])
+                        some = some[wanted[np.minimum(near, len(wanted) - 1)] == h[some]]
+                    h, at = h[some], at[some]
                 if not len(at):
                     continue
                 places = defaultdict(list)
-                for s, p in zip(h[at].tolist(), at.tolist(), strict=True):
+                for s, p in zip(h.tolist(), at.tolist(), strict=True):
                     places[s].append(p)
                 pick += [k] * len(places)
                 n_of += [n] * len(places)
@@ -112,7 +122,7 @@ def _tile_rows(width: int):
             for n, pairs in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 cells = [np.array(np.meshgrid(p["d"], p["i"])).reshape(2, -1) for p in pairs]
                 d, i = np.concatenate(cells, axis=1)
-                c, t = tile(d, i, width, n)
+                c, t = tile(d, i, min(width, n), n)
                 covered.append(c)
                 tiles.append(t)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(covered, pa.int32()), pa.array(tiles, pa.int32())], ["id", "row", "item_id", "n_item_tokens", "matched_tokens", "n_tiles"])
@@ -137,21 +147,23 @@ def contaminated(
 ) -> DataFrame:
     """(id, row, item_id, n_item_tokens, matched_tokens, n_tiles, coverage) of pairs at or over the coverage.
 
-    row tells rows of the same id but different text apart. Tiles are at least min_match tokens long, so an item of
-    fewer tokens never matches; null texts have no token. Equal items each report. Rows repeated in full report once.
+    row tells rows of the same id but different text apart. Tiles are at least min_match tokens long, or
+    the whole item if it has fewer; null texts and texts without a token never match. Equal items each report. Rows repeated in full report once.
     Null ids are ids like others. An empty table on either side gives an empty result. Further columns are not read.
     """
     spark = docs.sparkSession
     shape = "n int, seed long, at array<int>"
     items = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.xxhash64(benchmark[item_text_col]).alias("row"), F.col(f"`{item_text_col}`").alias("text"))
     id_type = items.schema["id"].dataType.simpleString()
-    item_seeds = save(items.distinct().mapInArrow(_seed_rows(min_match, None), f"id {id_type}, row long, {shape}"), "item-seeds")
+    item_seeds = save(items.distinct().mapInArrow(_seed_rows([min_match], None, own=True), f"id {id_type}, row long, {shape}"), "item-seeds")
     distinct = item_seeds.select("seed").distinct()
     got = [r["seed"] for r in distinct.limit(max_filter + 1).collect()]
     wanted = np.sort(np.array(got, np.int64).view(np.uint64)) if len(got) <= max_filter else None
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(docs, id_col, text_col).alias("row"), F.col(f"`{text_col}`").alias("text"))
     doc_type = texts.schema["id"].dataType.simpleString()
-    doc_seeds = save(texts.mapInArrow(_seed_rows(min_match, wanted), f"id {doc_type}, row long, {shape}"), "doc-seeds")
+    # Documents come with windows as wide as items ask for: at most min_match widths.
+    widths = sorted(r["w"] for r in item_seeds.select(F.least("n", F.lit(min_match)).alias("w")).distinct().collect())
+    doc_seeds = save(texts.mapInArrow(_seed_rows(widths or [min_match], wanted), f"id {doc_type}, row long, {shape}"), "doc-seeds")
     # Items that share text have few distinct seeds and many rows, so what is sent is counted by itself.
     sent = item_seeds.agg(F.coalesce(F.sum(1 + F.size("at")), F.lit(0)).alias("n")).first()["n"]
     right = item_seeds.select("seed", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("n").alias("n_item_tokens"), F.col("at").alias("i"))
@@ -159,7 +171,7 @@ def contaminated(
     # Fewer distinct windows than the coverage needs can not reach it.
     pairs = met.groupBy("id", "row", "item_id", "item_row", "n_item_tokens").agg(F.collect_list(F.struct("d", "i")).alias("pairs"))
     places = F.aggregate("pairs", F.lit(0), lambda a, p: a + F.size(p["i"]))
-    likely = pairs.where(places * min_match >= F.col("n_item_tokens") * coverage).select("id", "row", "item_id", "n_item_tokens", "pairs")
+    likely = pairs.where(places * F.least(F.lit(min_match), F.col("n_item_tokens")) >= F.col("n_item_tokens") * coverage).select("id", "row", "item_id", "n_item_tokens", "pairs")
     item_type = right.schema["item_id"].dataType.simpleString()
     tiled = likely.mapInArrow(_tile_rows(min_match), f"id {doc_type}, row long, item_id {item_type}, n_item_tokens int, matched_tokens int, n_tiles int")
     share = F.col("matched_tokens") / F.col("n_item_tokens")

@@ -251,12 +251,15 @@ def test_ppm_costs_are_those_of_trees_counted_anew(spark):
     tried = ["abab zé" * 40, "q", "日本 abc", "zz", "cdeé"]
     docs = spark.createDataFrame(list(enumerate(tried)), "doc_id long, text string")
     want = [{lang: _ppm_bits(t, text.encode()) for lang, t in of.items()} for text in tried]
-    for group in (8, 2, 1):
-        model = ppm.train(df, group=group)
-        assert [x for m in model for x in m["langs"]] == ["x", "y", "z"]
+    # A bound of one branch cuts the trees into many slices; every branch is of count one or two.
+    for group, nodes in ((8, 100), (2, 100), (1, 100), (8, 1), (2, 2), (1, 1)):
+        model = ppm.train(df, group=group, nodes=nodes)
+        assert sorted({x for m in model for x in m["langs"]}) == ["x", "y", "z"] and (nodes == 100 or len(model) > 5)
         for text, bits in zip(tried, want, strict=True):
-            got = np.concatenate([ppm.coder(m)(text.encode()) for m in model])
-            assert got == pytest.approx([bits[x] for x in "xyz"], rel=1e-5)
+            got = collections.Counter()
+            for m in model:
+                got.update(dict(zip(m["langs"], ppm.coder(m)(text.encode()).tolist(), strict=True)))
+            assert [got[x] for x in "xyz"] == pytest.approx([bits[x] for x in "xyz"], rel=1e-5)
         for r in ppm.predict(docs, model).collect():
             bits = want[r.doc_id]
             best = min(sorted(bits), key=bits.get)
@@ -399,3 +402,12 @@ def test_pii_base_spans_on_hard_texts_and_whole_table(spark, sf_dir, docs):
 def test_pii_masking(spark):
     df = spark.createDataFrame([(1, "mail a.b@c.com or +1 (017) 555-7713 from 1.2.3.4"), (2, None), (3, "")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.masked(df).collect()} == {1: "mail [EMAIL] or [PHONE] from [IP]", 2: None, 3: ""}
+
+
+def test_short_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta, gamma delta"), (2, "so alpha beta gamma delta it is"), (3, "alpha gamma beta delta"), (4, "one"), (5, None), (6, "five words are enough here today")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "alpha beta gamma delta"), (11, "ONE"), (12, "..."), (13, None), (14, "five words are enough here")], "item_id long, text string")
+    want = [(1, 10, 4, 4, 1), (2, 10, 4, 4, 1), (4, 11, 1, 1, 1), (6, 14, 5, 5, 1)]
+    for most in (1, 1_000_000):
+        got = tiling.contaminated(docs, items, max_filter=most)
+        assert sorted(tuple(r)[1:] for r in got.select("row", "doc_id", "item_id", "n_item_tokens", "matched_tokens", "n_tiles").collect()) == want
