@@ -26,6 +26,14 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)" + IGNORED, "")
 
 
+def places(chars: Column, n: int) -> Column:
+    """For each place of a text cut into characters: ``was``, the n characters from there, and ``now``, the one after them.
+
+    At the end of the text there are fewer, and now is empty. chars is a column of its own, as F.split(text, "") gives.
+    """
+    return F.transform(chars, lambda _, i: F.struct(F.concat_ws("", *(F.get(chars, i + k) for k in range(n))).alias("was"), F.coalesce(F.get(chars, i + n), F.lit("")).alias("now")))
+
+
 def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 

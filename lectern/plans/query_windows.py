@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import filters, tops
 from ..operators import windows as O
 from .registry import query
@@ -179,9 +180,10 @@ def top2(sessions):
 
 
 @query("top3_top_changes", """
-    SELECT class, was, now, n FROM (SELECT lang AS class, speaker AS was, status AS now, count(*) AS n FROM runs GROUP BY ALL) x QUALIFY row_number() OVER (PARTITION BY class ORDER BY n DESC, was, now) <= 10""")
+    SELECT class, was, now, n FROM (SELECT class, substr(source, i, 3) AS was, substr(source, i + 3, 1) AS now, count(*) AS n FROM (SELECT lang AS class, source, unnest(range(1, greatest(len(source), 1) + 1)) AS i FROM runs) y GROUP BY ALL) x QUALIFY row_number() OVER (PARTITION BY class ORDER BY n DESC, was, now) <= 10""")
 def top3(runs):
-    return tops.top_changes(runs.select(F.col("lang").alias("class"), F.col("speaker").alias("was"), F.col("status").alias("now")))
+    chars = runs.select(F.col("lang").alias("class"), F.split("source", "").alias("chars"))
+    return tops.top_changes(chars.select("class", F.inline(T.places(F.col("chars"), 3))))
 
 
 @query("top4_order_corrections", "SELECT source AS wrong, row_number() OVER (ORDER BY len(source) DESC, source, id) AS place FROM terms")
