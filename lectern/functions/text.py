@@ -26,6 +26,21 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)" + IGNORED, "")
 
 
+def _own_upper(c: str) -> str:
+    """The upper case of a character in one character; sharp s has a capital of its own, ligatures have none."""
+    return "\u1e9e" if c == "\u00df" else next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
+
+
+#: The letters that have another upper case (all are below 0x20000), and those.
+LOWER = "".join(c for c in map(chr, range(0x20000)) if _own_upper(c) != c)
+UPPER = "".join(map(_own_upper, LOWER))
+
+
+def upper_by_character(text: Column) -> Column:
+    """Each character's own upper case, so that the text keeps its length; F.upper writes SS for sharp s."""
+    return F.translate(text, LOWER, UPPER)
+
+
 def places(chars: Column, n: int) -> Column:
     """For each place of a text cut into characters: ``was``, the n characters from there, and ``now``, the one after them.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import edits as O
 from .query_joins import clips_of
 from .registry import query
@@ -37,7 +38,7 @@ def edt2b(sessions):
 def edt3(lines, voiceprints):
     hand = F.col("line_id") % 5 == 0
     old = lines.withColumn("orig_source", F.when(hand, F.col("source"))).withColumn("source", F.when(hand, F.concat("source", F.lit("!"))).otherwise(F.col("source")))
-    new = lines.where("lang = 'zh'").withColumn("line_id", F.col("line_id") + 500).withColumn("start", F.col("start") + 0.25).withColumn("end_time", F.col("end_time") + 0.25).withColumn("source", F.upper("source"))
+    new = lines.where("lang = 'zh'").withColumn("line_id", F.col("line_id") + 500).withColumn("start", F.col("start") + 0.25).withColumn("end_time", F.col("end_time") + 0.25).withColumn("source", T.upper_by_character(F.col("source")))
     return O.replace_transcript(old, new, voiceprints)[0].select("line_id", "source", F.col("orig_source").isNotNull().alias("hand"))
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from lectern.functions import text as T
 from lectern.plans import registry
 
 registry.load()
@@ -23,7 +24,7 @@ def odd(spark, tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["top3_top_changes"])
+@pytest.mark.parametrize("name", ["top3_top_changes", "edt3_replace_transcript"])
 def test_agrees_with_sql(name, spark, odd):
     path, con = odd
     df = registry.QUERIES[name](spark, path)
@@ -40,3 +41,10 @@ def test_top_changes_counts_every_place_of_whole_texts(spark, odd):
     best = {x: sorted(((-n, k[1], k[2]) for k, n in want.items() if k[0] == x))[:10] for x in ("zh", "vi", "en")}
     got = registry.QUERIES["top3_top_changes"](spark, path).collect()
     assert sorted((r["class"], -r.n, r.was, r.now) for r in got) == sorted((x, *b) for x, rows in best.items() for b in rows)
+
+
+def test_upper_by_character_is_duckdb_upper(spark):
+    every = spark.createDataFrame([(i, chr(i)) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000], "id long, c string")
+    got = {r.id: r.u for r in every.select("id", T.upper_by_character(F.col("c")).alias("u")).collect()}
+    rows = duckdb.connect().execute("SELECT i, upper(chr(CAST(i AS INT))) FROM range(1, 131072) t(i) WHERE i < 55296 OR i > 57343").fetchall()
+    assert [(hex(i), u, got[i]) for i, u in rows if got[i] != u] == []
