@@ -96,18 +96,6 @@ def _chain(a: np.ndarray, b: np.ndarray, start: int, max_bits: int) -> np.ndarra
     return good & (np.bitwise_count(x) <= max_bits)
 
 
-def within_ring(fps: np.ndarray, one: np.uint64, max_bits: int) -> np.ndarray:
-    """Which fingerprints differ from one in at most max_bits bits, chains first: some segment starts a chain in which
-    the first l segments differ in at most floor(l * max_bits / m) bits together, for every l."""
-    good = np.zeros(len(fps), bool)
-    for start in range(ring(max_bits)[0]):
-        rest = np.flatnonzero(~good)
-        if not len(rest):
-            break
-        good[rest] = _chain(fps[rest], one, start, max_bits)
-    return good
-
-
 def _forest(fps: np.ndarray, start: int, max_bits: int) -> tuple[list[int], list[int]]:
     """Edges of a spanning forest of the linked fingerprints of one bucket."""
     left, src, dst = fps, [], []
