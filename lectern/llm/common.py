@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII blanks; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
+#: Bits of a sieve for each of its rows, places that a row sets, and the most bits of a sieve (16 MB).
+ROW_BITS, PLACES, MAX_BITS = 12, 4, 1 << 27
 
 
 def words(text: Column) -> Column:
@@ -75,3 +80,40 @@ def drop_saved(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The places (PLACES, rows) of 64-bit hashes in so many bits, a power of two."""
+    return np.stack([(hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(65 - bits.bit_length()) for k in range(PLACES)])
+
+
+def _words(bits: int):
+    """Rows (hash); gives (word, set): the bits that a batch sets, 64 a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_places(b.column(0).to_numpy(), bits))
+            word, start = np.unique(at >> np.uint64(6), return_index=True)
+            held = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (word, held)], ["word", "set"])
+
+    return run
+
+
+def sieve(rows: DataFrame, max_bits: int = MAX_BITS) -> Callable[[Column], Column]:
+    """A test for 64-bit hashes: true for those in rows, one column without nulls, and for about one in a hundred others.
+
+    It is a Bloom filter, sent to all tasks: rows that a join would drop need not move for it. What it lets pass is still
+    to be joined. Where rows ask for more than max_bits, a power of two, more and more others pass.
+    """
+    bits = max(1 << 10, min(max_bits, 1 << (ROW_BITS * rows.count()).bit_length()))
+    got = rows.mapInArrow(_words(bits), "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()
+    held = np.zeros(bits // 64, np.uint64)
+    held[got["word"].to_numpy()] = got["set"].to_numpy().view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def passes(hashes: pd.Series) -> pd.Series:
+        at = _places(hashes.to_numpy(), bits)
+        return pd.Series(((held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0))
+
+    return passes

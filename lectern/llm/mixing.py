@@ -213,13 +213,14 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     ids and sources agree with each other. A null text has size 0. An empty table gives an empty result. If docs has
     columns of the new names, those stay as they are and the new ones get an underscore.
     """
-    key = ["id", "source", "size"]
+    # One column of one type, never null itself: rows are joined where they were ranked, so texts move once.
+    key = F.struct("id", "source", "size")
     copies = pivotal_copies(docs, id_col, text_col, source_col, **how).select(F.col(f"`{id_col}`").alias("id"), "source", "size", "copies")
-    dealt = copies.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("all")).alias("b")
+    copies = copies.select(key.alias("key"), "copies")
+    dealt = copies.groupBy("key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("all"))
     text = F.col(f"`{text_col}`")
     sized = docs.select(whole(docs.columns), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), text_size(text).alias("size"), F.xxhash64(text).alias("h"))
-    ranked = sized.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("h")) - 1).alias("a")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
-    joined = ranked.join(dealt, same[0] & same[1] & same[2]).select("a.doc", "a.size", F.get("b.all", F.col("a.n")).alias("copies"))
+    ranked = sized.select("doc", key.cast(copies.schema["key"].dataType).alias("key"), "h").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("h")) - 1)
+    joined = ranked.join(dealt, "key").select("doc", F.col("key.size").alias("size"), F.get("all", F.col("n")).alias("copies"))
     new = {"size": F.col("size"), "copies": F.col("copies"), "taken": F.col("copies") * F.col("size")}
     return joined.where("copies > 0").select(*parts(docs.columns), *(c.alias(fresh(docs.columns, name)) for name, c in new.items()))
