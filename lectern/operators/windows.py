@@ -45,10 +45,14 @@ def heal_turns(turns_: DataFrame, gap: float = 0.5) -> DataFrame:
 
 
 def inherit(df: DataFrame, value: Column, by: list[str], order: list[str]) -> DataFrame:
-    """df with ``filled``: value, where null the one before, where there is none the next."""
+    """df with ``filled``: value, where null the one before, where there is none the next.
+
+    The next one of a row with none before it is the first of all, so its window is the whole one, read once; a window from
+    each row to the end would be read anew for each row.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
     back = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.first("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.withColumn("_v", value).withColumn("filled", F.coalesce(back, ahead)).drop("_v")
 
 
