@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import aggs, joins, windows
-from .common import components, cut_lineage, first_per
+from .common import components, cut_lineage, first_per, small
 from .similar import similar_pairs
 
 DUPLICATE, CAP, KNOWN = 0.85, 8, 0.80
@@ -125,8 +125,9 @@ def regroup_labels(turns: DataFrame, vectors: DataFrame, threshold: float = 0.75
     span = F.col("end_time") - F.col("start")
     w = Window.partitionBy("session_id", "speaker").orderBy(F.desc("_s"), "turn_id")
     before = F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    picked = turns.withColumn("_s", span).withColumn("_before", before).where(F.col("_before") < pooled)
-    pool = aggs.centroids(picked.join(vectors, ["session_id", "turn_id"]).select("session_id", "speaker", F.col("_s").alias("seconds"), "embedding"), least, 0.0)
+    picked = cut_lineage(turns.withColumn("_s", span).withColumn("_before", before).where(F.col("_before") < pooled).select("session_id", "turn_id", "speaker", "_s"))
+    # A few turns of a label are picked, one row of a label is pooled: kept, since the rounds read them again.
+    pool = cut_lineage(aggs.centroids(vectors.join(small(picked), ["session_id", "turn_id"]).select("session_id", "speaker", F.col("_s").alias("seconds"), "embedding"), least, 0.0))
     groups = cluster_voices(pool.select("session_id", F.col("speaker").cast("long").alias("item"), "centroid"), threshold)
     named = turns.join(groups.select("session_id", F.col("item").alias("_i"), "label"), (turns["session_id"] == groups["session_id"]) & (turns["speaker"].cast("long") == F.col("_i")), "left").drop(groups["session_id"])
     named = named.withColumn("speaker", F.coalesce(F.col("label").cast("int"), F.col("speaker"))).drop("_i", "label")
