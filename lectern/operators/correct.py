@@ -3,26 +3,34 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from importlib.util import find_spec
+from itertools import accumulate, product
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import correction as C
 from ..functions import text as T
-from .common import components, cut_lineage
-from .occurrences import occurrences
+from .common import components, cut_lineage, small
+from .occurrences import SLICE_CHARS, SLICE_TERMS, occurrences
 
 PARTS = ("aliases", "sound", "spelling")
 
 
+def reading_table(readings: DataFrame | None, column: str) -> dict[int, str]:
+    return {} if readings is None else {ord(c): r for c, r in readings.select("char", column).collect()}
+
+
 def reader(readings: DataFrame | None, column: str) -> Callable[[Column], Column]:
     """text -> its reading, a character at a time; characters without one stay. There is a row for each character at most,
     so the list is bounded by the characters there are."""
     if readings is None:
         return lambda text: text
-    table = {ord(c): r for c, r in readings.select("char", column).collect()}
+    table = reading_table(readings, column)
 
     @F.pandas_udf("string")
     def read(texts: pd.Series) -> pd.Series:
@@ -65,6 +73,37 @@ def _windows(text: Column, width: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, width)))).otherwise(F.array().cast("array<string>"))
 
 
+def _sounding(keys: dict[str, list[int]], table: dict[int, str]):
+    """Rows (text); gives (piece, width): windows that read as one of the keys, of a width of its terms, once a batch. An
+    automaton goes over the reading of the whole text; a match counts where it begins and ends with a character."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
+
+        tree = Automaton()
+        for k in keys:
+            tree.add_word(k, k)
+        tree.make_automaton()
+        single = all(len(r or "") == 1 for r in table.values())
+        for b in batches:
+            found = set()
+            for text in b.column(0).to_pylist():
+                read = text.translate(table)
+                # The characters that begin at each place of the reading.
+                at = defaultdict(list)
+                for k, offset in enumerate(() if single else accumulate((len(table.get(ord(c), c) or "") for c in text), initial=0)):
+                    at[offset].append(k)
+                for last, key in tree.iter(read):
+                    start, end = last + 1 - len(key), last + 1
+                    for i, j in ((start, end),) if single else product(at.get(start, ()), at.get(end, ())):
+                        if j - i in keys[key]:
+                            found.add((text[i:j], j - i))
+            pieces = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.string()), pa.array([w for _, w in pieces], pa.int32())], ["piece", "width"])
+
+    return rows
+
+
 class Rules:
     """The lists people keep, as tables that pieces of text meet: what a window of letters sounds like, and what a Latin word
     is spelled like. Nothing bounds their number."""
@@ -77,34 +116,59 @@ class Rules:
         self.spellings = rules.where("NOT by_sound")
         #: Lengths of terms: a few numbers.
         self.widths = [r[0] for r in self.sounds.select("width").distinct().collect()] if "sound" in parts else []
-
-    def moves(self, texts: DataFrame) -> DataFrame:
-        """(key, piece, term, by_sound): what the rules make of pieces of texts (key, text)."""
+        self.table = reading_table(readings, "toneless") if self.widths else {}
+
+    def said(self, texts: DataFrame) -> DataFrame:
+        """(piece, width): windows of texts (text) that may sound as a term. Keys in bounds go over the texts as an automaton;
+        if there are more, all windows of the letters meet them."""
+        keys = self.sounds.select("key", "width").distinct()
+        n, chars = keys.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
+        if find_spec("ahocorasick") and n <= SLICE_TERMS and chars <= SLICE_CHARS:
+            own = defaultdict(list)
+            for key, width in keys.collect():
+                own[key].append(width)
+            return texts.select("text").mapInArrow(_sounding(dict(own), self.table), "piece string, width int")
+        width = F.explode(F.array(*(F.lit(w) for w in self.widths))).alias("width")
+        return texts.select("text", width).select(F.explode(_windows(F.col("text"), F.col("width"))).alias("piece"), "width")
+
+    def facts(self, texts: DataFrame) -> DataFrame:
+        """(piece, term, by_sound): what the rules make of the pieces of all texts (text). Each distinct piece meets the
+        rules once, whatever texts it is in."""
         out = None
         if self.widths:
-            width = F.explode(F.array(*(F.lit(w) for w in self.widths))).alias("width")
-            said = texts.select("key", "text", width).select("key", "width", F.explode(_windows(F.col("text"), F.col("width"))).alias("piece")).where(F.col("piece").rlike(f"^(?:{self.letters})+$"))
-            # Each distinct window meets the rules once; a known word is never a mistake.
-            heard = said.select("piece", "width").distinct().join(self.known, "piece", "left_anti").withColumn("sound", self.toneless(F.col("piece")))
+            # A known word is never a mistake.
+            heard = self.said(texts).where(F.col("piece").rlike(f"^(?:{self.letters})+$")).select("piece", "width").distinct().join(self.known, "piece", "left_anti").withColumn("sound", self.toneless(F.col("piece")))
             rivals = heard.join(self.sounds.withColumnRenamed("key", "sound"), ["width", "sound"])
             far = F.levenshtein(self.toned(F.col("term")), self.toned(F.col("piece")))
-            best = rivals.groupBy("piece").agg(F.min(F.struct(far.alias("far"), "term")).alias("best")).select("piece", "best.term")
-            out = said.select("key", "piece").join(best, "piece").select("key", "piece", "term", F.lit(True).alias("by_sound"))
+            best = rivals.groupBy("piece").agg(F.min(F.struct(far.alias("far"), "term")).alias("best"))
+            out = best.select("piece", "best.term", F.lit(True).alias("by_sound"))
         if "spelling" in self.parts:
-            said = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(LATIN), F.lit(0)))).alias("piece"))
-            near = near_terms(said.select(F.col("piece").alias("token")), self.spellings).where("token <> term").withColumnRenamed("token", "piece")
-            own = said.join(near, "piece").select("key", "piece", "term", F.lit(False).alias("by_sound"))
+            said = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(LATIN), F.lit(0)))).alias("token"))
+            near = near_terms(said, self.spellings).where("token <> term")
+            own = near.select(F.col("token").alias("piece"), "term", F.lit(False).alias("by_sound"))
             out = own if out is None else out.unionByName(own)
         return out
 
+    def moves(self, texts: DataFrame) -> DataFrame:
+        """(text, moves): the facts whose pieces a text of texts (text) holds, for texts that hold some. A piece may be part
+        of a longer word, which the rewriting leaves alone."""
+        facts = cut_lineage(self.facts(texts))
+        held = occurrences(texts, facts.select(F.col("piece").alias("term"))).withColumnRenamed("term", "piece").join(small(facts, FACTS), "piece")
+        return held.groupBy("text").agg(F.collect_set(F.struct("piece", "term", "by_sound")).alias("moves"))
+
 
 #: What counts as one Latin word (fixed pattern), for Spark's expressions.
 LATIN = r"[A-Za-z\x{c0}-\x{1ef9}][A-Za-z\x{c0}-\x{1ef9}'\u2019-]*"
 
-def _rewritten(text: Column, moves: Column) -> Column:
-    @F.pandas_udf("struct<fixed:string,steps:array<string>>")
+
+#: Facts, or texts that ask again, that go to every task.
+FACTS = 50_000
+
+
+def _rewritten(text: Column, moves: Column, reach: int) -> Column:
+    @F.pandas_udf("struct<fixed:string,made:array<string>>")
     def run(texts: pd.Series, moves: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([C.rewritten(t, [(m["piece"], m["term"], m["by_sound"]) for m in own]) for t, own in zip(texts, moves, strict=True)], columns=["fixed", "steps"])
+        return pd.DataFrame([C.rewritten(t, [(m["piece"], m["term"], m["by_sound"]) for m in own], reach) for t, own in zip(texts, moves, strict=True)], columns=["fixed", "made"])
 
     return run(text, moves)
 
@@ -133,9 +197,9 @@ def corrected(lines: DataFrame, terms: DataFrame, corrections: DataFrame | None
     rule reads what the ones before wrote.
 
     Tables say which pieces of a text the rules would change, and only texts with such pieces are rewritten, by those
-    rules alone. A rewriting tells the texts it went through; their pieces meet the rules again, and where they ask for a
-    rule that was left out the text is rewritten anew with it. When no text asks any more, every text is what all rules
-    together make of it. Equal texts are rewritten once; null and empty ones stay.
+    rules alone. A rewriting tells the places that it wrote, as far as a piece can reach around them; their pieces meet the
+    rules again, and where they ask for a rule that was left out the text is rewritten anew with it. When no text asks any
+    more, every text is what all rules together make of it. Equal texts are rewritten once; null and empty ones stay.
     """
     text = F.col(f"`{text_col}`")
     rules = Rules(terms, readings, letters, parts)
@@ -153,18 +217,21 @@ def corrected(lines: DataFrame, terms: DataFrame, corrections: DataFrame | None
 
 
 def _ruled(texts: DataFrame, rules: Rules) -> DataFrame:
-    """(key, fixed) of the texts (key) that a rule changes."""
-    move = F.collect_set(F.struct("piece", "term", "by_sound"))
-    state = rules.moves(texts.select("key", F.col("key").alias("text"))).groupBy("key").agg(move.alias("moves"))
-    done: list[DataFrame] = []
+    """(key, fixed) of the texts (key) that a rule changes. Rounds deal in places by the number of their text; no piece
+    carries its whole text along."""
+    state = rules.moves(texts.select(F.col("key").alias("text"))).withColumnRenamed("text", "key")
+    reach, done = max(rules.widths, default=1) - 1, []
     while True:
-        ran = cut_lineage(state.select("key", "moves", _rewritten(F.col("key"), F.col("moves")).alias("r")).select("key", "moves", "r.*"))
-        more = rules.moves(ran.select("key", F.explode("steps").alias("text"))).groupBy("key").agg(move.alias("more"))
-        both = cut_lineage(ran.join(more, "key", "left").withColumn("more", F.array_except(F.coalesce("more", F.array_except("moves", "moves")), "moves")))
-        done.append(both.where("size(more) = 0").select("key", "fixed"))
-        state = both.where("size(more) > 0").select("key", F.concat("moves", "more").alias("moves"))
-        if state.isEmpty():
+        ran = state.select("key", "moves", _rewritten(F.col("key"), F.col("moves"), reach).alias("r"))
+        ran = cut_lineage(ran.select(F.monotonically_increasing_id().alias("id"), "key", "moves", "r.*"))
+        made = ran.select("id", F.explode("made").alias("text"))
+        asks = made.join(rules.moves(made.select("text").distinct()), "text").select("id", F.explode("moves").alias("move")).groupBy("id").agg(F.collect_set("move").alias("more"))
+        asks = asks.join(ran.select("id", "moves"), "id").select("id", F.array_except("more", "moves").alias("more")).where("size(more) > 0")
+        asks = small(cut_lineage(asks), FACTS)
+        done.append(ran.join(asks.select("id"), "id", "left_anti").select("key", "fixed"))
+        if asks.isEmpty():
             break
+        state = ran.join(asks, "id").select("key", F.concat("moves", "more").alias("moves"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
