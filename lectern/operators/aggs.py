@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import first_per, small
+from .common import cut_lineage, first_per, small
 
 #: Words that mark a manner of speaking (fixed values). A deployment may pass its own.
 FILLERS = (
@@ -87,10 +87,19 @@ def centroids(vectors: DataFrame, min_seconds: float = 20.0, least: float = 1.0)
 
 
 def similarity_summary(pairs: DataFrame, threshold: float) -> DataFrame:
-    """One row: pairs, those at the threshold, least, greatest, and the upper median."""
-    n = pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("score") >= threshold).alias("above"), F.min("score").alias("low"), F.max("score").alias("high"))
-    mid = pairs.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score DESC)").alias("median"))
-    return n.join(mid)
+    """One row: pairs, those at the threshold, least, greatest, and the upper median.
+
+    Pairs are counted by score before anything is dealt out. The median is then looked for in the range of scores that holds
+    it: the ranges are a few thousand rows, the scores of one a part of all.
+    """
+    counted = cut_lineage(pairs.groupBy("score").agg(F.count("*").alias("n")))
+    n = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.coalesce(F.sum(F.when(F.col("score") >= threshold, F.col("n"))), F.lit(0)).alias("above"), F.min("score").alias("low"), F.max("score").alias("high"))
+    scored = counted.where("score IS NOT NULL").withColumn("range", F.floor(F.col("score") * 1024))
+    ranges = scored.groupBy("range").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(Window.orderBy(F.desc("range"))) - F.col("m"))
+    half = F.broadcast(scored.agg(F.ceil(F.sum("n") / 2).alias("half")))
+    holds = ranges.join(half).where((F.col("before") < F.col("half")) & (F.col("before") + F.col("m") >= F.col("half"))).select("range", "before", "half")
+    inside = scored.join(F.broadcast(holds), "range").withColumn("upto", F.col("before") + F.sum("n").over(Window.orderBy(F.desc("score"))))
+    return n.join(inside.where(F.col("upto") >= F.col("half")).agg(F.max("score").alias("median")))
 
 
 def wording(text: Column, fillers: tuple[str, ...] = FILLERS) -> Column:
