@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,45 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: floa
     return joined.drop("_b").withColumn("overlap", F.least("end_time", "r_end") - F.greatest("start", "r_start"))
 
 
+def in_cells(spans: DataFrame, turns: DataFrame, run: Callable, schema: str, width: float = 60.0) -> DataFrame:
+    """What run gives for the spans (session_id, id, who, start, end_time) of a cell and the turns (session_id, who, start,
+    end_time) that overlap or lie in one of them; no column is null.
+
+    A cell is the spans of one session that start in one stretch of time. A task holds the turns of one cell while its spans
+    stream by, so there is no row for a span and a turn. run takes the turns' who, start and end_time, sorted by start and
+    who, and the spans as a batch, and gives a batch.
+    """
+    own = spans.withColumn("cell", F.floor(F.col("start") / width))
+    hulls = own.groupBy("session_id", "cell").agg(F.min("start").alias("low"), F.max(F.greatest("start", "end_time")).alias("high"))
+    met = with_buckets(hulls, "low", "high", width).join(with_buckets(turns, "start", "end_time", width), ["session_id", "_b"])
+    first = F.floor(F.greatest("low", "start") / width)
+    met = met.where((F.col("_b") == first) & (F.col("start") < F.col("high")) & (F.col("end_time") > F.col("low")))
+    cols = ["session_id", "cell", "is_span", "id", "who", "start", "end_time"]
+    none = F.lit(None).cast(spans.schema["id"].dataType)
+    rows = met.withColumns({"is_span": F.lit(False), "id": none}).select(*cols).unionByName(own.withColumn("is_span", F.lit(True)).select(*cols))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, turns_, held = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            session, cell, is_span = b.column("session_id"), b.column("cell").to_numpy(), b.column("is_span").to_numpy(zero_copy_only=False)
+            names = session.dictionary_encode().indices.to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((names[1:] != names[:-1]) | (cell[1:] != cell[:-1]) | (is_span[1:] != is_span[:-1])) + 1, [b.num_rows]]).tolist()
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                part, now = b.slice(start, end - start), (session[start].as_py(), cell[start])
+                if now != of:
+                    of, turns_, held = now, [], None
+                if not is_span[start]:
+                    turns_.append([part.column(c).to_numpy(zero_copy_only=False) for c in ("who", "start", "end_time")])
+                    continue
+                if held is None:
+                    held = [np.concatenate(c) for c in zip(*turns_, strict=True)] if turns_ else [np.empty(0)] * 3
+                yield run(*held, part)
+
+    return rows.repartition("session_id", "cell").sortWithinPartitions("session_id", "cell", "is_span", "start", "who").mapInArrow(cells, schema)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df through the checkpoint folder of the session; a temporary one only where none is set."""
     import tempfile
